@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import mixing, quality_rules, url_filter
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": quality_rules.query, "op9_url_filter": url_filter.query}
+    return {"op1_mixing": mixing.query, "op4_quality_rules": quality_rules.query, "op9_url_filter": url_filter.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL}
+    return {"op1_mixing": mixing.query, "op4_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL}
