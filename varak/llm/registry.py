@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_filter
+from . import mixing, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.query, "op4_quality_rules": quality_rules.query, "op9_url_filter": url_filter.query}
+    return {"op1_mixing": mixing.query, "op3_sharding": sharding.query, "op4_quality_rules": quality_rules.query, "op9_url_filter": url_filter.query}
 
 
 def oracle_sql() -> dict[str, str]:
