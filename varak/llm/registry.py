@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, url_filter
+from . import langid, mixing, quality_rules, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.query, "op3_sharding": sharding.query, "op4_quality_rules": quality_rules.query, "op9_url_filter": url_filter.query}
+    return {"op1_mixing": mixing.query, "op2_toxicity": toxicity.query, "op3_sharding": sharding.query, "op4_quality_rules": quality_rules.query, "op5_langid": langid.query, "op9_url_filter": url_filter.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.query, "op4_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL}
+    return {"op1_mixing": mixing.query, "op2_toxicity": toxicity.query, "op4_quality_rules": quality_rules.SQL, "op9_url_filter": url_filter.SQL}
