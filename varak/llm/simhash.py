@@ -125,33 +125,50 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, carry: list[str] | None = None) -> DataFrame:
-    """Per document: the carried columns (default: the id), fingerprint (16 hex digits), n_near, component_id.
+def _linked(rows: DataFrame, radius: int) -> DataFrame:
+    """Per distinct fingerprint of rows (id, k1, k2, fp): fp, n rows, near (rows at other fingerprints), root, least row."""
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")  # ids first, null ids last
+    prints = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(row).alias("least")))
+    pairs = cut(near_pairs(prints.select("fp"), radius))
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(prints.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("near"))
+    roots = components(pairs).select(F.col("node").alias("fp"), "root")
+    known = prints.join(near, "fp", "left").join(roots, "fp", "left")
+    return cut(known.withColumn("near", F.coalesce("near", F.lit(0))).withColumn("root", F.coalesce("root", "fp")))
+
+
+def _identity(doc_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("k2"), text, doc_id)]
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Per document: id, fingerprint (16 hex digits), n_near, component_id.
 
     n_near counts the other documents within the radius; component_id is the least id reachable over such links, the
     document's own included (null ids are passed over; null if the component has no other). Copies share one
     fingerprint, so only distinct fingerprints are compared and no pairs of copies are listed. Null texts count as
     empty ones, whose fingerprint is zero. An empty table gives an empty result.
     """
-    carry = [id_col] if carry is None else carry
-    mine = [f"_c{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(m) for c, m in zip(carry, mine)], F.col(id_col).alias("id"), fingerprints(F.col(text_col)).alias("fp"))
-    rows = cut(rows)
-    prints = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("id")))
-    pairs = cut(near_pairs(prints.select("fp"), radius))
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(prints.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
-    roots = components(pairs).select(F.col("node").alias("fp"), "root")
-    known = prints.join(linked, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = cut(known)
-    ids = known.groupBy("root").agg(F.min("id").alias("component_id"))
-    facts = known.join(ids, "root").select("fp", "n", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_near"), "component_id")
-    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    facts = cut(facts)
-    return attach(rows, facts, ["fp"], "n", total).select(
-        *[F.col(m).alias(c) for c, m in zip(carry, mine)], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id"
+    one, two = _identity(F.col(id_col), F.col(text_col))
+    rows = cut(docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), fingerprints(F.col(text_col)).alias("fp")))
+    known = _linked(rows, radius)
+    ids = known.groupBy("root").agg(F.min("least")["id"].alias("component_id"))
+    facts = cut(known.join(ids, "root").select("fp", "n", (F.col("near") + F.col("n") - 1).alias("n_near"), "component_id"))
+    total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return attach(rows.drop("k1", "k2"), facts, ["fp"], "n", total).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id"
     )
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of docs, whole, for each component of near copies: the least id (null ids last), once if it repeats."""
+    one, two = _identity(F.col(id_col), F.col(text_col))
+    rows = cut(docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), fingerprints(F.col(text_col)).alias("fp")))
+    stay = _linked(rows, radius).groupBy("root").agg(F.min("least").alias("r")).select(F.col("r.k1").alias("_sim1"), F.col("r.k2").alias("_sim2"))
+    joined = docs.select("*", one.alias("_sim1"), two.alias("_sim2")).join(stay, ["_sim1", "_sim2"])
+    nth = F.expr("row_number() over (partition by _sim1, _sim2 order by _sim1)")  # the join's own order: no other sort
+    return joined.withColumn("_sim_nth", nth).where("_sim_nth = 1").select(docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
