@@ -9,7 +9,7 @@ stands for it. Names are shared by equal windows, so names found in one document
 of equal names count once.
 
 1. Reveal: names meet in one shuffle; those that occur again become hits of their documents.
-2. Verify: windows around hits meet in a second shuffle, by 128-bit names of all their words; a window that starts in a
+2. Verify: windows around hits meet in a second shuffle, by 96-bit names of all their words; a window that starts in a
    document with a smaller id is marked.
 3. Remove: marks return to their documents.
 
@@ -120,7 +120,8 @@ class Chunk:
         return spread[self.doc[spread] == self.doc[spread + window - 1]]
 
     def window_names(self, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        return _names(self.names, starts, window, _B1), _names(self.names, starts, window, _B2)
+        """96 bits that name each window."""
+        return _names(self.names, starts, window, _B1), (_names(self.names, starts, window, _B2) >> _U(32)).astype(np.uint32)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.RecordBatch]]:
@@ -224,7 +225,7 @@ def verify(window: int):
             fresh[1:] |= (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])
             least = own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(w1) else own
             kind = np.where(own > least, SETTLED, OPEN).astype(np.int8)
-            columns = [w1.view(np.int64), w2.view(np.int64), own, mark, kind]
+            columns = [w1.view(np.int64), w2.view(np.int32), own, mark, kind]
             yield pa.RecordBatch.from_arrays([pa.array(c[fresh]) for c in columns], names=["w1", "w2", "id", "mark", "kind"])
 
     return run
@@ -306,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mine = [f"_c{i}" for i in range(len(carry))]
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    mark = F.pmod(F.xxhash64(text), F.lit(NO_MARK)).cast("int").alias("mark")  # tells rows that share an id apart
+    mark = F.coalesce(F.pmod(F.xxhash64(text), F.lit(NO_MARK)).cast("int"), F.lit(0)).alias("mark")  # tells rows that share an id apart; never null, so joins add no filter
     rows = docs.select(place, mark, F.col(text_col).alias("text"))
     by_document = lambda c: F.when(F.col("kind") == SETTLED, F.col("id")).otherwise(F.col(c))
 
@@ -320,13 +321,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = hits.select("id", "mark", "name", F.lit(False).alias("copy")).unionAll(copies.select("id", "mark", F.lit(None).cast("long").alias("name"), F.lit(True).alias("copy")))
     hits = cut(marks.groupBy("id", "mark").agg(F.collect_list("name").alias("hits"), F.max("copy").alias("copy")).where("not copy").drop("copy"))
 
-    found = rows.join(hits, ["id", "mark"]).select("id", "mark", "hits", "text")
-    windows = found.mapInArrow(verify(window), "w1 long, w2 long, id long, mark int, kind byte").repartition(by_document("w1")).sortWithinPartitions("w1", "w2", "id")
+    whole = docs.select(place, mark, F.col(text_col).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, mine)])
+    found = whole.join(hits, ["id", "mark"]).select("id", "mark", "hits", *mine, "text")  # all of whole, so that its shuffle is reused
+    windows = found.mapInArrow(verify(window), "w1 long, w2 int, id long, mark int, kind byte").repartition(by_document("w1")).sortWithinPartitions("w1", "w2", "id")
     late = windows.mapInArrow(later, "id long, mark int, w1 long")
     ends = late.select("id", "mark", "w1", F.lit(False).alias("copy")).unionAll(copies.select("id", "mark", F.lit(None).cast("long").alias("w1"), F.lit(True).alias("copy")))
-    ends = cut(ends.groupBy("id", "mark").agg(F.collect_list("w1").alias("windows"), F.max("copy").alias("copy")))
-
-    whole = docs.select(place, mark, F.col(text_col).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, mine)])
+    ends = ends.groupBy("id", "mark").agg(F.collect_list("w1").alias("windows"), F.max("copy").alias("copy"))
     final = whole.join(ends, ["id", "mark"], "left").select(*mine, "windows", F.coalesce("copy", F.lit(False)).alias("copy"), "text")
     kinds = ", ".join(f"{m} {docs.schema[c].dataType.simpleString()}" for c, m in zip(carry, mine))
     done = final.mapInArrow(remove(window), f"{kinds}, n_words long, n_removed long, kept string")
