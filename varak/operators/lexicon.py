@@ -23,7 +23,7 @@ REQUIRED = {
 }
 #: A small list of our own, for tests and as a start: common Turkish words and endings.
 STARTER = {
-    "formality": {"formal_markers": ["arz", "hazret", "zat"], "informal_markers": ["abi", "lan", "ya"]},
+    "formality": {"formal_markers": ["arz", "hazret", "zat"], "informal_markers": ["abi", "ha", "lan", "ya"]},
     "semantics": {"religious": ["cami", "dua", "namaz"], "cultural": ["sanat", "el"], "political": ["devlet", "la"], "economic": ["akçe", "para"]},
     "genre": {"persian_compounds": ["dil", "en"], "arabic_patterns": ["kitab", "der"], "honorifics": ["bey", "des"]},
     "stopwords": {"particles_and_conjunctions": ["ama", "de", "ile", "ki", "on", "ve"]},

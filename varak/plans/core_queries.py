@@ -1,11 +1,315 @@
-"""Registered queries over the text-mining operators and their DuckDB SQL."""
+"""Registered queries over the text-mining operators and their DuckDB SQL.
+
+Texts with paragraphs are made from conversations: a user's turns followed, between underscores, by the replies.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varak.functions import text as T
+from varak.operators import lexicon as L
+from varak.operators import pairs as P
+from varak.operators import sentences as S
+from varak.operators import stats as A
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.mine_pairs(_docs(spark, sf_dir)).where("pair_type = 'poetic'")
+    return found.select("doc_id", "pair_idx", "original", "translation", "similarity", "pair_type")
+
+
+def _conversation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    part = F.when(F.col("role") == "user", F.col("text")).otherwise(F.concat(F.lit("_"), "text", F.lit("_")))
+    turns = turns.select("conv_id", F.struct("turn", part.alias("part")).alias("s"))
+    ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return ordered.select("conv_id", F.array_join(F.transform("s", lambda x: x["part"]), "\n\n").alias("text"))
+
+
+def _direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.mine_pairs(_conversation_texts(spark, sf_dir), "conv_id", min_similarity=0.05).where("pair_type = 'direct_pair'")
+    return found.select("conv_id", "pair_idx", "original", "translation", "similarity", "pair_type")
+
+
+def _line_couples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every couplet of lines of a document, unjudged: doc_id, couple, a, b."""
+    lines = F.transform(F.split("text", "\n"), T.strip)
+    couple = F.transform(F.col("l"), lambda x, i: F.when(i % 2 == 0, F.struct((i / 2).cast("long").alias("couple"), x.alias("a"), F.get("l", i + 1).alias("b"))))
+    made = _docs(spark, sf_dir).select("doc_id", lines.alias("l")).select("doc_id", F.inline(F.filter(couple, lambda c: c.isNotNull() & c["b"].isNotNull())))
+    return made
+
+
+def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_couples(spark, sf_dir).select("doc_id", "couple", T.similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
+def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_couples(spark, sf_dir).select("doc_id", "couple", T.is_valid_pair(F.col("a"), F.col("b")).alias("is_valid"))
+
+
+def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.text_stats(_docs(spark, sf_dir)).drop("tokens")
+
+
+def _benchmark_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.text_stats(_table(spark, sf_dir, "benchmark"), "item_id").drop("tokens")
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.totals(A.text_stats(_docs(spark, sf_dir))).drop("tokens")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sentences(_docs(spark, sf_dir))
+
+
+SQL_SIGNS = ("bracketed_number", "digit_inside_word", "very_long_word", "number_in_parentheses", "hyphen_chain", "blank_before_mark", "no_blank_after_mark")
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signs = [T.repair_sign(F.col("sentence"), n).alias(n) for n in SQL_SIGNS]
+    return _sentences(spark, sf_dir).select("doc_id", "line_idx", "sent_idx", *signs)
+
+
+def _one_flag(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _sentences(spark, sf_dir).select("doc_id", "line_idx", "sent_idx", T.repair_sign(F.col("sentence"), name).alias(name))
+
+
+def _all_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.flag_sentences(_sentences(spark, sf_dir)).drop("sentence")
+
+
+def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir).select("doc_id", "line_idx", "sent_idx", T.post_process(F.col("sentence")).alias("processed"))
+
+
+def _cleanliness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sentences(spark, sf_dir).withColumn("processed", T.post_process(F.col("sentence")))
+    return rows.select("doc_id", "line_idx", "sent_idx", T.cleanliness(F.col("sentence"), F.col("processed")).alias("cleanliness"))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.repair_report(S.repair(_sentences(spark, sf_dir)))
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.corrected_text(S.repair(_sentences(spark, sf_dir))).select("doc_id", "text")
+
+
+def _cleanliness_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.cleanliness_histogram(S.repair(_sentences(spark, sf_dir)))
+
+
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.words_per_sentence(_docs(spark, sf_dir))
+
+
+def _markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.get_markers(L.starter(spark), "formality", "formal_markers")
+
+
+def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.add_markers(L.starter(spark), "formality", "formal_markers", ["zat", "efendim"])
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.missing_lists(L.starter(spark).where("category <> 'suffixes' or subcategory = 'verbal'"))
+
+
+def _marker_counts(category: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: L.marker_counts(_docs(spark, sf_dir), L.starter(spark), category)
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.without_stopwords(_docs(spark, sf_dir), L.starter(spark))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "poetic_pairs": _pairs,
+        "poetic_pairs_verified": lambda spark, sf_dir: P.verify_pairs(_pairs(spark, sf_dir)),
+        "direct_pairs_conversations": _direct,
+        "clean_text": _clean,
+        "pair_similarity": _similarity,
+        "valid_pair_flags": _valid,
+        "doc_stats": _stats,
+        "benchmark_stats": _benchmark_stats,
+        "corpus_totals": _totals,
+        "sentences": _sentences,
+        "sentence_flags": _flags,
+        "sentence_flag_short_words": _one_flag("short_words"),
+        "sentence_flag_repeat": _one_flag("repeated_chunk"),
+        "sentence_flags_all": _all_flags,
+        "post_process": _post,
+        "cleanliness": _cleanliness,
+        "repair_report": _report,
+        "corrected_text": _corrected,
+        "cleanliness_hist": _cleanliness_bins,
+        "words_per_sentence_hist": _histogram,
+        "lexicon_markers": _markers,
+        "lexicon_add_markers": _added,
+        "lexicon_validate": _missing,
+        "ext_marker_counts_formality": _marker_counts("formality"),
+        "ext_marker_counts_semantics": _marker_counts("semantics"),
+        "ext_marker_counts_genre": _marker_counts("genre"),
+        "ext_suffix_counts": _marker_counts("suffixes"),
+        "ext_stopword_filtered_counts": _filtered,
+    }
+
+
+# DuckDB. Its \s and \w are ASCII, hence the classes; the replacement of İ makes its lower() agree with Unicode.
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _sql_words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{_WS}+'), lambda w: w <> '')"
+
+
+def _sql_clean(x: str) -> str:
+    return rf"lower(replace(trim(regexp_replace(regexp_replace({x}, '[^{T.LETTERS}\s\x0b]', ' ', 'g'), '[\s\x0b]+', ' ', 'g')), 'İ', 'i' || chr(775)))"
+
+
+def _sql_set(x: str) -> str:
+    return f"list_distinct(list_filter(string_split({_sql_clean(x)}, ' '), lambda w: w <> ''))"
+
+
+#: From a relation c(keys, a, b) to one with sim and valid lengths.
+def _sql_scored(keys: str, source: str) -> str:
+    return f"""
+    sets AS (SELECT {keys}, a, b, {_sql_set("a")} AS wa, {_sql_set("b")} AS wb, len({_sql_words("a")}) AS na, len({_sql_words("b")}) AS nb FROM {source}),
+    scored AS (
+      SELECT {keys}, a, b, na >= 2 AND nb >= 2 AND 2 * least(na, nb) >= greatest(na, nb) AND a <> '' AND b <> '' AS fair,
+             CASE WHEN len(wa) > 0 AND len(wb) > 0 THEN CAST(len(list_intersect(wa, wb)) AS DOUBLE) / len(list_distinct(list_concat(wa, wb))) ELSE 0.0 END AS sim FROM sets
+    )"""
+
+
+_LINES = f"""
+    stanza AS (SELECT doc_id, {_sql_strip("string_split(text, chr(10) || chr(10))[-1]")} AS p FROM documents),
+    split AS (SELECT doc_id, string_split(p, chr(10)) AS l FROM stanza),
+    couples AS (SELECT doc_id, l, unnest(range(0, len(l) // 2)) AS i FROM split),
+    lines AS (SELECT doc_id, i, {_sql_strip("l[2 * i + 1]")} AS a, {_sql_strip("l[2 * i + 2]")} AS b FROM couples)"""
+
+_COUPLES = f"""
+    split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+    couples AS (SELECT doc_id, l, unnest(range(0, len(l) // 2)) AS couple FROM split),
+    lines AS (SELECT doc_id, couple, {_sql_strip("l[2 * couple + 1]")} AS a, {_sql_strip("l[2 * couple + 2]")} AS b FROM couples)"""
+
+
+def _sql_poetic(least: float) -> str:
+    return f"""
+    WITH {_LINES}, {_sql_scored("doc_id, i", "lines")}, kept AS (SELECT * FROM scored WHERE fair AND sim >= 0.2)
+    SELECT * FROM (
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pair_idx, a AS original, b AS translation, sim AS similarity, 'poetic' AS pair_type FROM kept
+    ) WHERE similarity >= {least}"""
+
+
+_DIRECT = f"""
+    WITH text AS (
+      SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN text ELSE '_' || text || '_' END, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id
+    ), cut AS (SELECT conv_id, list_transform(string_split(t, chr(10) || chr(10)), lambda x: {_sql_strip("x")}) AS p FROM text),
+    places AS (SELECT conv_id, p, unnest(range(1, len(p))) AS i FROM cut),
+    next AS (SELECT conv_id, i, p[i] AS a, {_sql_strip("trim(p[i + 1], '_')")} AS b FROM places WHERE p[i] <> '' AND prefix(p[i + 1], '_') AND suffix(p[i + 1], '_')),
+    {_sql_scored("conv_id, i", "next")}
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS pair_idx, a AS original, b AS translation, sim AS similarity, 'direct_pair' AS pair_type
+    FROM scored WHERE fair AND sim >= 0.05"""
+
+
+def _sql_stats(id_col: str, table: str) -> str:
+    sentence = rf"len(regexp_extract_all(text, '{_W}+[.!?](?:{_WS}|$)'))"
+    return f"SELECT {id_col}, {sentence} AS sentences, len({_sql_words('text')}) AS words, length(text) AS characters FROM {table}"
+
+
+_MARK = chr(1)
+_SENTENCES = rf"""
+    line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS line_idx FROM documents),
+    marked AS (SELECT doc_id, line_idx, string_split(regexp_replace({_sql_strip("l")}, '([.!?]){_WS}+', '\1{_MARK}', 'g'), '{_MARK}') AS s FROM line),
+    sentence AS (SELECT doc_id, line_idx, unnest(range(0, len(s))) AS sent_idx, unnest(s) AS sentence FROM marked)"""
+
+_SQL_SIGNS = {
+    "bracketed_number": rf"\p{{Nd}}{_WS}*\]{_WS}*,{_WS}*\p{{Nd}}",
+    "digit_inside_word": rf"{_W}\p{{Nd}}{_W}",
+    "very_long_word": "[a-zA-Z]{20}",
+    "number_in_parentheses": r"\([^)]*\p{Nd}[^)]*\)",
+    "hyphen_chain": rf"{_W}{_WS}*-{_WS}*{_W}+{_WS}*-{_WS}*{_W}",
+    "blank_before_mark": rf"{_WS}[.,;:!?]",
+    "no_blank_after_mark": r"[.,;:!?][^\s\x0b\x1c-\x1f\x{85}\p{Z}]",
+    "short_words": rf"(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])(?:{_W}{{1,2}}{_WS}+){{3}}",
+}
+
+
+def _sql_post(x: str) -> str:
+    kept = rf"regexp_replace({x}, '[^{T.LETTERS}\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}\p{{Nd}}.,;:!?()\-]', '', 'g')"
+    spaced = rf"regexp_replace(regexp_replace({kept}, '([.,;:!?])', '\1 ', 'g'), '{_WS}+', ' ', 'g')"
+    return _sql_strip(spaced)
+
+
+def _sql_cleanliness(a: str, b: str) -> str:
+    return f"CASE WHEN greatest(length({a}), length({b})) > 0 THEN len(list_filter(range(1, least(length({a}), length({b})) + 1), lambda i: {a}[i] = {b}[i])) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
+
+
+_LEXICON = ", ".join(f"('{s}', '{c}', '{sub}', '{m}')" for source, data in L.STARTER.items() for s, c, sub, m in L.rows_of(data, source))
+_LEX = f"lexicon(source, category, subcategory, marker) AS (VALUES {_LEXICON})"
+_WORDS = f"word AS (SELECT doc_id, unnest({_sql_set('text')}) AS marker FROM documents)"
+
 
-def queries() -> dict:
-    return {}
+def _sql_counts(category: str) -> str:
+    return f"""WITH {_LEX}, {_WORDS}
+    SELECT doc_id, subcategory, count(*) AS n_markers FROM word JOIN (SELECT DISTINCT subcategory, marker FROM lexicon WHERE category = '{category}') USING (marker)
+    GROUP BY doc_id, subcategory"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    flags = ", ".join(f"regexp_matches(sentence, '{_SQL_SIGNS[n]}') AS {n}" for n in SQL_SIGNS)
+    required = ", ".join(f"('{c}', '{s}')" for c, subs in L.REQUIRED.items() for s in subs)
+    stats = _sql_stats("doc_id", "documents")
+    return {
+        "poetic_pairs": _sql_poetic(0.2),
+        "poetic_pairs_verified": _sql_poetic(0.3),
+        "direct_pairs_conversations": _DIRECT,
+        "clean_text": f"SELECT doc_id, {_sql_clean('text')} AS cleaned FROM documents",
+        "pair_similarity": f"WITH {_COUPLES}, {_sql_scored('doc_id, couple', 'lines')} SELECT doc_id, couple, sim AS similarity FROM scored",
+        "valid_pair_flags": f"WITH {_COUPLES}, {_sql_scored('doc_id, couple', 'lines')} SELECT doc_id, couple, fair AND sim >= 0.2 AS is_valid FROM scored",
+        "doc_stats": stats,
+        "benchmark_stats": _sql_stats("item_id", "benchmark"),
+        "corpus_totals": f"""SELECT CAST(sum(sentences) AS BIGINT) AS sentences, CAST(sum(words) AS BIGINT) AS words, CAST(sum(characters) AS BIGINT) AS characters,
+            count(*) AS files_processed FROM ({stats})""",
+        "sentences": f"WITH {_SENTENCES} SELECT doc_id, line_idx, sent_idx, sentence FROM sentence",
+        "sentence_flags": f"WITH {_SENTENCES} SELECT doc_id, line_idx, sent_idx, {flags} FROM sentence",
+        "sentence_flag_short_words": f"WITH {_SENTENCES} SELECT doc_id, line_idx, sent_idx, regexp_matches(sentence, '{_SQL_SIGNS['short_words']}') AS short_words FROM sentence",
+        "post_process": f"WITH {_SENTENCES} SELECT doc_id, line_idx, sent_idx, {_sql_post('sentence')} AS processed FROM sentence",
+        "cleanliness": f"""WITH {_SENTENCES}, both_ AS (SELECT doc_id, line_idx, sent_idx, sentence AS a, {_sql_post("sentence")} AS b FROM sentence)
+            SELECT doc_id, line_idx, sent_idx, {_sql_cleanliness("a", "b")} AS cleanliness FROM both_""",
+        "words_per_sentence_hist": f"""SELECT len({_sql_words("s")}) AS n_words, count(*) AS n_sentences
+            FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: x <> '')) AS s FROM documents) GROUP BY 1""",
+        "lexicon_markers": f"WITH {_LEX} SELECT DISTINCT marker FROM lexicon WHERE category = 'formality' AND subcategory = 'formal_markers'",
+        "lexicon_add_markers": f"WITH {_LEX} SELECT * FROM lexicon UNION SELECT * FROM (VALUES ('formality', 'formality', 'formal_markers', 'zat'), ('formality', 'formality', 'formal_markers', 'efendim'))",
+        "lexicon_validate": f"""WITH {_LEX} SELECT category, subcategory FROM (VALUES {required}) AS r(category, subcategory)
+            ANTI JOIN (SELECT * FROM lexicon WHERE category <> 'suffixes' OR subcategory = 'verbal') USING (category, subcategory)""",
+        "ext_marker_counts_formality": _sql_counts("formality"),
+        "ext_marker_counts_semantics": _sql_counts("semantics"),
+        "ext_marker_counts_genre": _sql_counts("genre"),
+        "ext_suffix_counts": _sql_counts("suffixes"),
+        "ext_stopword_filtered_counts": f"""WITH {_LEX}, {_WORDS}
+            SELECT doc_id, count(*) AS n_words FROM word ANTI JOIN (SELECT marker FROM lexicon WHERE category = 'stopwords') USING (marker) GROUP BY doc_id""",
+    }
