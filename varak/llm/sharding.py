@@ -18,8 +18,8 @@ from .common import attach, cut, table
 SHARDS, LAW = 24, "bytes"
 #: Buckets of one narrowing step; a cut is settled when the bucket that holds it weighs at most TOLERANCE of a shard.
 BUCKETS, TOLERANCE = 2048, 0.0005
-#: Rows that one task numbers at once, on average.
-SLOT_BLOCK = 100_000
+#: Rows, and bytes of their texts, that one task numbers at once, on average.
+SLOT_BLOCK, SLOT_BYTES = 100_000, 8 << 20
 DIMENSIONS = ("lang", "source", "size")
 _SCALE, _TIE_BITS = 1 << 24, 38
 
@@ -143,7 +143,7 @@ def shard(
     spread = F.broadcast(groups.where(giant).select("h1", "h2", F.lit(True).alias("giant")))
     rows = rows.drop("lang", "source").join(spread, ["h1", "h2"], "left").withColumn("part", F.when(F.col("giant"), F.pmod("hid", F.lit(64))).otherwise(0).cast("int")).drop("giant")
     rows = attach(rows, placed, ["h1", "h2", "part"], "n", count)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("hid", "h1"), F.lit(1 + count // (shards * SLOT_BLOCK))))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("hid", "h1"), F.lit(int(1 + max(count / SLOT_BLOCK, total / SLOT_BYTES) // shards))))
     counts = rows.groupBy("shard", "block").count().withColumn("start", F.expr("sum(count) over (partition by shard order by block) - count")).drop("count")
     rows = rows.join(counts, ["shard", "block"])
     nth = F.expr("row_number() over (partition by shard, block order by hid, h1)")
