@@ -27,7 +27,7 @@ def stream_stats(texts: DataFrame) -> DataFrame:
 def stream_pdfs(spark: SparkSession, folder: str, converter: Converter, options: ExtractionOptions | None = None) -> DataFrame:
     """New PDF files of a folder as path, text; files that fail or aren't PDF have a null text."""
     told = options or ExtractionOptions()
-    schema = "path string, length long, modificationTime timestamp, content binary"
+    schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).load(folder)
 
     def convert(batches):
