@@ -1,0 +1,145 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from varak.llm import mixing as M
+from varak.llm import sharding as H
+
+
+def water(sizes, weights, cap=3.0):
+    """Targets by the letter: share by weight, stop at the cap, reshare the excess."""
+    total, fixed = sum(sizes), {}
+    while True:
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        left = total - sum(fixed.values())
+        w = sum(weights[i] for i in free)
+        share = {i: left * weights[i] / w for i in free} if w else {}
+        over = [i for i in free if share[i] > cap * sizes[i] + 1e-9]
+        if not over:
+            return [fixed.get(i, share.get(i, 0.0)) for i in range(len(sizes))]
+        fixed |= {i: cap * sizes[i] for i in over}
+
+
+def corpus(n=600, seed=1, sources=("a", "b", "É", None, "z", "tiny")):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        s = "tiny" if i == 0 else rng.choice(sources[:-1]) if rng.random() < 0.6 else "a"
+        rows.append((i, " ".join(["w"] * int(rng.lognormvariate(3, 1))), "en", s))
+    return rows
+
+
+def test_targets_and_taken(docs):
+    rows = corpus()
+    got = M.plan(docs(rows)).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    size = defaultdict(int)
+    for _, t, _, s in rows:
+        size[s] += len(t.split())
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(order, water([size[s] for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))])))
+    taken, source = defaultdict(int), {r[0]: r[3] for r in rows}
+    for r in got:
+        assert r.source_size == size[source[r.doc_id]] and r.target == pytest.approx(want[source[r.doc_id]])
+        assert r.taken == r.copies * r.size <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    for s in order:
+        assert abs(taken[s] - want[s]) <= max(20, 0.01 * want[s]), (s, taken[s], want[s])
+
+
+def test_reruns_agree_and_partitioning_does_not_matter(docs):
+    df = docs(corpus(200))
+    a, b = (sorted((r.doc_id, r.copies) for r in M.plan(x).collect()) for x in (df, df.repartition(7)))
+    assert a == b
+
+
+def test_tree_of_several_levels(docs, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "FAN_IN", 3)
+    got = M.plan(docs([(i, "w " * (1 + i % 5), "en", "a" if i % 2 else "b") for i in range(300)])).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.target] += r.taken
+    assert len(got) == 300 and all(abs(t - n) <= 5 for t, n in taken.items()), (taken, target)
+
+
+def test_mix_repeats_rows_as_planned(docs):
+    rows = [*corpus(80), (7, "same row", "en", "b"), (7, "same row", "en", "b"), (None, "no id", None, None), (3, None, "en", "a"), (4, "", "en", "a")]
+    df = docs(rows)
+    plan = Counter()
+    for r in M.plan(df).collect():
+        plan[r.doc_id] += r.copies
+    mixed = M.mix(df)
+    assert mixed.columns == df.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == +plan
+
+
+def test_expectation_is_kept():
+    up = np.zeros(40)
+    for seed in range(600):
+        sizes = np.array(sorted(((i * 37) % 90 + 1 for i in range(40)), reverse=True))
+        x, left = M.round_block(sizes, 0.3, np.random.default_rng(seed))
+        assert all(v in (0.0, 1.0) for i, v in enumerate(x) if i != left)
+        assert abs((x * sizes).sum() - 0.3 * sizes.sum()) < 1e-6
+        up += x
+    assert abs(up / 600 - 0.3).max() < 0.09
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "", "en", "a"), (1, "", "en", "a")], [(None, "a", None, None)]])
+def test_mixing_of_edge_tables(docs, rows):
+    got = M.plan(docs(rows)).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+
+
+def checked(rows, got, shards):
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    want = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+
+
+def test_shards_balance_bytes_and_keep_copies_together(docs, monkeypatch):
+    monkeypatch.setattr(H, "SLOT_BLOCK", 10)
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abcé ") for _ in range(rng.randint(0, 400))), rng.choice(["en", "de", None]), rng.choice(["s0", "s0", "s1", None])) for i in range(1500)]
+    rows += [(5000 + i, "a text with some copies", rng.choice(["en", "de"]), "s1") for i in range(60)]
+    rows += [(7, "dup", "en", "s0"), (7, "dup", "en", "s0"), (None, None, None, None), (8, "", None, None)]
+    got = H.shard(docs(rows), shards=8).collect()
+    checked(rows, got, 8)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.06 * sum(load.values()) / 8 and min(load.values()) > 0.94 * sum(load.values()) / 8
+    of = defaultdict(set)
+    for r in got:
+        of[r.text_crc32, r.size].add(r.shard)
+    assert len(of[zlib.crc32(b"a text with some copies"), 31]) == 1
+
+
+def test_a_giant_group_of_copies_is_spread(docs):
+    rows = [(i, "copy of one text " * 5, "en", "a") for i in range(400)] + [(1000 + i, f"text number {i} " * 5, "en", "a") for i in range(400)]
+    got = H.shard(docs(rows), shards=4).collect()
+    checked(rows, got, 4)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) < 1.1 * min(load.values())
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a"), (1, "a")], [(i, "x" * i) for i in range(5)]])
+def test_sharding_of_edge_tables(docs, rows):
+    checked(rows, H.shard(docs(rows)).collect(), 24)
+
+
+def test_target_bytes_and_carried_columns(docs):
+    df = docs([(i, "x" * 92, "en", "a") for i in range(40)]).withColumnRenamed("n_chars", "size")
+    got = H.shard(df, target_bytes=1000, carry=["doc_id", "text", "lang", "source"])
+    assert got.columns[:4] == ["doc_id", "text", "lang", "source"]
+    assert got.select("shard").distinct().count() == 4
