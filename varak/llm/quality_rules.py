@@ -28,6 +28,7 @@ RULES = (
     ("symbols", "n_symbols", "n_words", None, 10),
     ("stop_words", "n_stop_words", "n_words", 6, None),
     ("repeated_lines", "n_dup_lines", "n_lines", None, 40),
+    ("echoed_words", "n_echo_words", "n_words", None, 30),
 )
 SYMBOLS = "#*$%&|<>"
 SPACE = "\t\n\x0b\x0c\r "
@@ -82,6 +83,7 @@ def _measures(text: Column) -> Column:
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
             _repeat_words(words).alias("n_repeat_words"),
             F.size(stops).cast("long").alias("n_stop_words"),
+            F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long").alias("n_echo_words"),
         )
 
     return let(words_of(text), of)
@@ -101,7 +103,7 @@ def compile_rules(rules: tuple, names: dict[str, Column]) -> Column:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
     """Measure every whole text and judge it: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, kept (boolean), n_stop_words, n_lines (long).
+    base_failed, kept (boolean), n_stop_words, n_lines, n_echo_words (long; equal to the word before).
 
     A document is kept if it passes the base test (at least 20 words, and at most 30 % of its words inside 8-word
     windows that recur in it) and all rules. A null text has no words and fails. Rows are judged alone: null or
@@ -110,13 +112,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     m = docs.select(F.col(id_col), _measures(F.col(text_col)).alias("_m"))
     flat = m.select(
         id_col, "_m.n_words", "_m.word_chars", "_m.n_symbols", F.col("_m.lines.dup").alias("n_dup_lines"),
-        "_m.n_repeat_words", "_m.n_stop_words", F.col("_m.lines.n").alias("n_lines"),
+        "_m.n_repeat_words", "_m.n_stop_words", F.col("_m.lines.n").alias("n_lines"), "_m.n_echo_words",
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     names = {c: F.col(c) for c in flat.columns}
     return flat.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & compile_rules(rules, names)).alias("kept"), "n_stop_words", "n_lines",
+        (~failed & compile_rules(rules, names)).alias("kept"), "n_stop_words", "n_lines", "n_echo_words",
     )
 
 
@@ -148,10 +150,10 @@ def _sql() -> str:
       SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(covered.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: trim(lower(x), '.,;:!?') IN ({stops}))) AS n_stop_words,
-             len(lines) AS n_lines FROM cut LEFT JOIN covered USING (r)
+             len(lines) AS n_lines, len(list_filter(w, lambda x, i: x = w[i - 1])) AS n_echo_words FROM cut LEFT JOIN covered USING (r)
     )
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed,
-           NOT {failed} AND {" AND ".join(map(one, RULES))} AS kept, n_stop_words, n_lines FROM m"""
+           NOT {failed} AND {" AND ".join(map(one, RULES))} AS kept, n_stop_words, n_lines, n_echo_words FROM m"""
 
 
 SQL = _sql()
