@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from .common import attach, cut, table
 
 WINDOW = 13
 #: Bytes of text that a task parses at once.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 NO_ID = (1 << 63) - 1  # the place of null ids: after all others
 NO_MARK = (1 << 31) - 1
 _U = np.uint64
@@ -127,13 +128,14 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.RecordBatch]]:
     """(texts as bytes, rows) of bounded size; the text column comes last."""
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= CHUNK or i == len(texts) - 1:
-                yield texts[begin : i + 1], batch.slice(begin, i + 1 - begin)
-                begin, size = i + 1, 0
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+        upto, begin = np.cumsum(sizes), 0
+        while begin < len(upto):
+            done = upto[begin - 1] if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(upto, done + CHUNK, side="right")))
+            rows = batch.slice(begin, stop - begin)
+            yield rows.column(rows.num_columns - 1).cast(pa.large_binary()).to_pylist(), rows
+            begin = stop
 
 
 def _numbers(batch: pa.RecordBatch, k: int) -> np.ndarray:
