@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructField, StructType
 
-from .common import table
+from .common import cut, table
 
 NGRAM = 4
 #: An n-gram is a seed if at most this share of the documents has it, or if it is of the rarer half of its item's.
@@ -120,14 +121,20 @@ def matches(items: Items, seeds: np.ndarray, text: str | None, threshold: float,
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[Items]:
-    """The items in blocks of at most about BLOCK_BYTES of text, read to the driver one block at a time."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[Items]]:
+    """The items in blocks of about BLOCK_BYTES of text: how many, and an iterator that reads one at a time."""
     rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // BLOCK_BYTES))
     slot = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    blocks = (Items(sorted(((r["i"], r["t"]) for r in rows.where(slot == b).collect()), key=lambda x: (x[0] is None, x[0], x[1]))) for b in range(n))
-    return [b for b in blocks if b.ids]
+
+    def read() -> Iterator[Items]:
+        for b in range(n):
+            items = Items(sorted(((r["i"], r["t"]) for r in rows.where(slot == b).collect()), key=lambda x: (x[0] is None, x[0], x[1])))
+            if items.ids:
+                yield items
+
+    return n, read()
 
 
 def rare_seeds(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
@@ -166,15 +173,10 @@ def _aligner(items: Items, seeds: np.ndarray, threshold: float, long_score: int,
     return aligned
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, threshold: float, long_score: int) -> Column:
-    """A column of docs: the array of the items that contaminate its text."""
-    kind: DataType = benchmark.schema[item_id].dataType
+def hits(docs: DataFrame, items: Items, kind: DataType, text_col: str, threshold: float, long_score: int) -> Column:
+    """A column of docs: the array of the items of one block that contaminate its text."""
     schema = ArrayType(StructType([StructField("item_id", kind), StructField("score", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType())]))
-    found = [F.array().cast(schema)]
-    for items in item_blocks(benchmark, item_id, item_text):
-        seeds = rare_seeds(docs, text_col, items)
-        found.append(_aligner(items, seeds, threshold, long_score, schema)(F.col(text_col)))
-    return F.concat(*found)
+    return _aligner(items, rare_seeds(docs, text_col, items), threshold, long_score, schema)(F.col(text_col))
 
 
 def contaminated(
@@ -187,14 +189,27 @@ def contaminated(
     Null texts and null items match nothing; items of under NGRAM words are too short to prove a copy and are not
     searched. Ids may be null or repeat: each row is judged by its own whole text. Empty tables give no rows.
     """
-    rows = docs.select(F.col(id_col), F.explode(hits(docs, benchmark, text_col, item_id, item_text, threshold, long_score)).alias("_m"))
+    kind = benchmark.schema[item_id].dataType
     names = ("item_id", "score", "first_word", "end_word")
-    return rows.select(id_col, *[F.col(f"_m.{c}").alias(item_id if c == "item_id" else c) for c in names])
+    n, blocks = item_blocks(benchmark, item_id, item_text)
+    parts = []
+    for items in blocks:
+        found = docs.select(F.col(id_col), F.explode(hits(docs, items, kind, text_col, threshold, long_score)).alias("_m"))
+        found = found.select(id_col, *[F.col(f"_m.{c}").alias(item_id if c == "item_id" else c) for c in names])
+        parts.append(cut(found) if n > 1 else found)  # so that the driver holds one block at a time
+    if not parts:
+        return docs.select(F.col(id_col), F.lit(None).cast(kind).alias(item_id), F.lit(0.0).alias("score"), *[F.lit(0).cast("long").alias(c) for c in names[2:]]).limit(0)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, long_score: int = LONG_SCORE) -> DataFrame:
     """The rows of docs that no item contaminates."""
-    return docs.where(F.size(hits(docs, benchmark, text_col, item_id, item_text, threshold, long_score)) == 0)
+    n, blocks = item_blocks(benchmark, item_id, item_text)
+    kept = docs
+    for items in blocks:
+        kept = kept.where(F.size(hits(docs, items, benchmark.schema[item_id].dataType, text_col, threshold, long_score)) == 0)
+        kept = cut(kept) if n > 1 else kept
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
