@@ -54,7 +54,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float
     driver. All sizes zero: all targets zero.
     """
     w = F.array(*[F.lit(float(x)) for x in weights])
-    ranked = cut(_ranked(sources, "key").withColumn("weight", F.get(w, (F.col("rank") % len(weights)).cast("int"))).drop("rank"))
+    ranked = _ranked(sources, "key").withColumn("weight", F.get(w, (F.col("rank") % len(weights)).cast("int"))).drop("rank")
     most = F.lit(cap) * F.col("source_size")
     level, capped = 0.0, -1
     while True:

@@ -114,7 +114,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        large = cut(large)
         low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(low, large["b"] == low["u"]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         pairs = cut(small.select("e.a", "e.b").where("a < b").distinct())
@@ -134,7 +133,7 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
     near = both.join(prints.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("near"))
     roots = components(pairs).select(F.col("node").alias("fp"), "root")
     known = prints.join(near, "fp", "left").join(roots, "fp", "left")
-    return cut(known.withColumn("near", F.coalesce("near", F.lit(0))).withColumn("root", F.coalesce("root", "fp")))
+    return known.withColumn("near", F.coalesce("near", F.lit(0))).withColumn("root", F.coalesce("root", "fp"))
 
 
 def _identity(doc_id: Column, text: Column) -> list[Column]:
