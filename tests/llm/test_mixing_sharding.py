@@ -143,3 +143,15 @@ def test_target_bytes_and_carried_columns(docs):
     got = H.shard(df, target_bytes=1000, carry=["doc_id", "text", "lang", "source"])
     assert got.columns[:4] == ["doc_id", "text", "lang", "source"]
     assert got.select("shard").distinct().count() == 4
+
+
+def test_many_shards_with_few_buckets(docs, monkeypatch):
+    monkeypatch.setattr(H, "DRIVER_ROWS", 64)
+    rows = [(i, "x" * (i % 91), ["en", "de"][i % 2], f"s{i % 7}") for i in range(2000)]
+    rows = [(i, f"{i} {t}", lang, s) for i, t, lang, s in rows]
+    got = H.shard(docs(rows), shards=40).collect()
+    checked(rows, got, 40)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert len(load) == 40 and max(load.values()) < 1.1 * sum(load.values()) / 40

@@ -9,6 +9,8 @@ bucket totals, never rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from .common import attach, cut, table
 SHARDS, LAW = 24, "bytes"
 #: Buckets of one narrowing step; a cut is settled when the bucket that holds it weighs at most TOLERANCE of a shard.
 BUCKETS, TOLERANCE = 2048, 0.0005
+#: Bucket totals that the driver reads at once, over all nodes of a level.
+DRIVER_ROWS = 1 << 17
 #: Rows, and bytes of their texts, that one task numbers at once, on average.
 SLOT_BLOCK, SLOT_BYTES = 100_000, 8 << 20
 DIMENSIONS = ("lang", "source", "size")
@@ -40,25 +44,28 @@ def _points(groups: DataFrame) -> DataFrame:
     return groups.withColumns({f"k_{d}": F.shiftleft(c.cast("long"), _TIE_BITS).bitwiseOR(tie) for d, c in coordinates.items()})
 
 
-def _cuts(points: DataFrame, wanted: dict[int, tuple[str, int, int, float]], tolerance: float) -> dict[int, tuple[int, float]]:
+def _key(d: Column) -> Column:
+    """The key of the dimension with this number."""
+    return reduce(lambda rest, i: F.when(d == i, F.col(f"k_{DIMENSIONS[i]}")).otherwise(rest), range(1, len(DIMENSIONS)), F.col(f"k_{DIMENSIONS[0]}"))
+
+
+def _cuts(points: DataFrame, wanted: dict[int, tuple[int, int, int, float]], tolerance: float) -> dict[int, tuple[int, float]]:
     """Per node, given its dimension, least and most key and the bytes that should lie left: (cut, bytes it is off by).
 
-    Keys below the cut go left. points has node and the keys. Each step aggregates BUCKETS totals a node and keeps the
-    bucket in which the wanted weight falls.
+    Keys below the cut go left. points has node and the keys. Each step aggregates some buckets a node and keeps the
+    bucket in which the wanted weight falls. Nodes share DRIVER_ROWS buckets, so many nodes take more steps, not more
+    memory; what is broadcast has one row a node.
     """
     state, found = dict(wanted), {}
     while state:
-        value, low, width = (F.lit(None).cast("long") for _ in range(3))
-        for n, (d, lo, hi, _) in state.items():
-            own, key = F.col("node") == n, F.col(f"k_{d}")
-            value, low = F.when(own & key.between(lo, hi), key).otherwise(value), F.when(own, F.lit(lo)).otherwise(low)
-            width = F.when(own, F.lit(max(1, -(-(hi - lo + 1) // BUCKETS)))).otherwise(width)
-        rows = points.select("node", "bytes", value.alias("v"), low.alias("lo"), width.alias("w")).where("v is not null")
+        buckets = max(16, min(BUCKETS, DRIVER_ROWS // len(state)))
+        spans = [(n, d, lo, hi, max(1, -(-(hi - lo + 1) // buckets))) for n, (d, lo, hi, _) in state.items()]
+        spans = F.broadcast(points.sparkSession.createDataFrame(spans, "node int, d int, lo long, hi long, w long"))
+        rows = points.join(spans, "node").withColumn("v", _key(F.col("d"))).where("v between lo and hi")
         totals = rows.groupBy("node", F.expr("(v - lo) div w").alias("b")).agg(F.sum("bytes").alias("bytes"), F.min("v").alias("least"), F.max("v").alias("most"))
-        totals = totals.toPandas().sort_values(["node", "b"])
         following = {}
-        for n, (d, lo, hi, want) in state.items():
-            own = totals[totals["node"] == n]
+        for n, own in totals.toPandas().sort_values(["node", "b"]).groupby("node"):
+            d, _, _, want = state[n]
             upto = np.cumsum(own["bytes"].to_numpy(float))
             at = min(int(np.searchsorted(upto, want)), len(own) - 1)
             before = upto[at - 1] if at else 0.0
@@ -76,41 +83,40 @@ def shard_groups(groups: DataFrame, shards: int) -> DataFrame:
     """Give every group (h1, h2, part, bytes, size, lang, source) its shard by the k-d tree.
 
     Where a heavy group keeps the widest dimension from dividing the bytes within 1 % of a shard, the next dimensions
-    are tried and the best cut is taken.
+    are tried and the best cut is taken. The driver holds the tree, a few numbers a shard.
     """
-    points = cut(_points(groups))
-    tree: dict[int, tuple[str, int, int, int]] = {}  # node: dimension, cut, left, right
+    spark = groups.sparkSession
+    points, depth = cut(_points(groups).withColumn("node", F.lit(0))), 0
     leaves = {0: (0, shards)}  # node: first shard, number of shards
-
-    def place(n: int, leaf) -> Column:
-        if n not in tree:
-            return leaf(n)
-        d, at, left, right = tree[n]
-        return F.when(F.col(f"k_{d}") < F.lit(at), place(left, leaf)).otherwise(place(right, leaf))
-
-    while any(n > 1 for _, n in leaves.values()):
-        here = points.withColumn("node", place(0, lambda n: F.lit(n)))
+    while any(k > 1 for _, k in leaves.values()):
         ends = [f(f"k_{d}").alias(f"{a}_{d}") for d in DIMENSIONS for a, f in (("least", F.min), ("most", F.max))]
-        stats = {r["node"]: r for r in here.groupBy("node").agg(F.sum("bytes").alias("bytes"), *ends).collect()}
+        stats = points.groupBy("node").agg(F.sum("bytes").alias("bytes"), *ends).toPandas().set_index("node").to_dict("index")
         unit = sum(float(r["bytes"]) for r in stats.values()) / shards
         breadth = lambda r, d: (r[f"most_{d}"] >> _TIE_BITS) - (r[f"least_{d}"] >> _TIE_BITS)
-        order = {n: sorted(DIMENSIONS, key=lambda d: -breadth(stats[n], d)) for n, (_, k) in leaves.items() if k > 1 and n in stats}
-        best: dict[int, tuple[float, str, int]] = {}
+        order = {n: sorted(range(len(DIMENSIONS)), key=lambda i: -breadth(stats[n], DIMENSIONS[i])) for n, (_, k) in leaves.items() if k > 1 and n in stats}
+        best: dict[int, tuple[float, int, int]] = {}
         for turn in range(len(DIMENSIONS)):
             due = {n: ds[turn] for n, ds in order.items() if n not in best or best[n][0] > 0.01 * unit}
-            wanted = {n: (d, stats[n][f"least_{d}"], stats[n][f"most_{d}"], float(stats[n]["bytes"]) * (leaves[n][1] // 2) / leaves[n][1]) for n, d in due.items()}
-            for n, (at, off) in _cuts(here, wanted, TOLERANCE * unit).items():
+            wanted = {n: (i, stats[n][f"least_{DIMENSIONS[i]}"], stats[n][f"most_{DIMENSIONS[i]}"], float(stats[n]["bytes"]) * (leaves[n][1] // 2) / leaves[n][1]) for n, i in due.items()}
+            for n, (at, off) in _cuts(points, wanted, TOLERANCE * unit).items():
                 best[n] = min(best.get(n, (off, wanted[n][0], at)), (off, wanted[n][0], at), key=lambda x: x[0])
-        fresh, following = max(leaves) + 1, {}
+        fresh, following, moves = max(leaves) + 1, {}, []
         for n, (first, k) in leaves.items():
             if n in best:
-                tree[n] = (best[n][1], best[n][2], fresh, fresh + 1)
+                moves.append((n, best[n][1], best[n][2], fresh))
                 following[fresh], following[fresh + 1] = (first, k // 2), (first + k // 2, k - k // 2)
                 fresh += 2
             else:
                 following[n] = (first, 1)
+        if moves:
+            splits = F.broadcast(spark.createDataFrame(moves, "node int, d int, at long, left int"))
+            moved = F.when(F.col("d").isNull(), F.col("node")).otherwise(F.col("left") + (_key(F.col("d")) >= F.col("at")).cast("int"))
+            points = points.join(splits, "node", "left").withColumn("node", moved).drop("d", "at", "left")
+            depth += 1
+            points = cut(points) if depth % 4 == 0 else points
         leaves = following
-    return points.withColumn("shard", place(0, lambda n: F.lit(leaves[n][0])))
+    firsts = F.broadcast(spark.createDataFrame([(n, first) for n, (first, _) in leaves.items()], "node int, shard int"))
+    return points.join(firsts, "node")
 
 
 def shard(
