@@ -77,7 +77,7 @@ def fair_lengths(original: Column, translation: Column, min_words: int = 2) -> C
     return counts & F.coalesce((original != "") & (translation != ""), F.lit(False))
 
 
-def is_valid_pair(original: Column, translation: Column, min_words: int = 2, min_similarity: float = 0.2) -> Column:
+def is_valid_pair(original: Column, translation: Column, min_similarity: float = 0.2, min_words: int = 2) -> Column:
     """A plausible pair: fair lengths and at least the similarity. The cheap test comes first."""
     return F.when(fair_lengths(original, translation, min_words), similarity(original, translation) >= min_similarity).otherwise(F.lit(False))
 
