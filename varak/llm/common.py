@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +38,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def identity(*columns: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows apart by these columns; nulls count as values of their own, equal rows are equal here."""
+    nulls = F.concat(*[c.isNull().cast("string") for c in columns])
+    return F.xxhash64(*columns, nulls), F.xxhash64(nulls, *reversed(columns))
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:

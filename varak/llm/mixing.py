@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, table
+from .common import attach, cut, identity, table
 
 #: Documents that one task rounds at once, on average; survivors that one tree node joins at most.
 BLOCK, FAN_IN = 2048, 512
@@ -154,7 +154,8 @@ def plan(
     """
     source, text = F.col("_source"), F.col("_text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
-    rows = rows.select("_id", _source_key(source).alias("key"), n_words(text).alias("size"), *identity(F.col("_id"), source, text))
+    one, two = identity(F.col("_id"), source, text)
+    rows = rows.select("_id", _source_key(source).alias("key"), n_words(text).alias("size"), one.alias("k1"), two.alias("k2"))
     rows = cut(rows.groupBy("_id", "key", "size", "k1", "k2").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("n"))
     sources = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
@@ -186,11 +187,6 @@ def plan(
     return out.select(F.col("id_text").cast(id_type).alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies, "k1", "k2")
 
 
-def identity(doc_id: Column, source: Column, text: Column) -> list[Column]:
-    """128 bits that tell rows apart by id, source and whole text; equal rows are equal here."""
-    return [F.xxhash64(doc_id, source, text).alias("k1"), F.xxhash64(F.lit("k2"), text, doc_id, source).alias("k2")]
-
-
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as plan() takes it.
 

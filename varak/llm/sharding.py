@@ -23,7 +23,7 @@ BUCKETS, TOLERANCE = 2048, 0.0005
 #: Bucket totals that the driver reads at once, over all nodes of a level.
 DRIVER_ROWS = 1 << 17
 #: Rows, and bytes of their texts, that one task numbers at once, on average.
-SLOT_BLOCK, SLOT_BYTES = 100_000, 8 << 20
+SLOT_BLOCK, SLOT_BYTES = 100_000, 2 << 20
 DIMENSIONS = ("lang", "source", "size")
 _SCALE, _TIE_BITS = 1 << 24, 38
 

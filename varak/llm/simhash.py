@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import attach, cut, table
+from .common import attach, cut, identity, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Buckets with more distinct fingerprints than this are searched by enumerating near fingerprints, not by pairs.
@@ -136,10 +136,6 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
     return known.withColumn("near", F.coalesce("near", F.lit(0))).withColumn("root", F.coalesce("root", "fp"))
 
 
-def _identity(doc_id: Column, text: Column) -> list[Column]:
-    return [F.xxhash64(doc_id, text), F.xxhash64(F.lit("k2"), text, doc_id)]
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per document: id, fingerprint (16 hex digits), n_near, component_id.
 
@@ -148,7 +144,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint, so only distinct fingerprints are compared and no pairs of copies are listed. Null texts count as
     empty ones, whose fingerprint is zero. An empty table gives an empty result.
     """
-    one, two = _identity(F.col(id_col), F.col(text_col))
+    one, two = identity(F.col(id_col), F.col(text_col))
     rows = cut(docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), fingerprints(F.col(text_col)).alias("fp")))
     known = _linked(rows, radius)
     ids = known.groupBy("root").agg(F.min("least")["id"].alias("component_id"))
@@ -161,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of docs, whole, for each component of near copies: the least id (null ids last), once if it repeats."""
-    one, two = _identity(F.col(id_col), F.col(text_col))
+    one, two = identity(F.col(id_col), F.col(text_col))
     rows = cut(docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), fingerprints(F.col(text_col)).alias("fp")))
     stay = _linked(rows, radius).groupBy("root").agg(F.min("least").alias("r")).select(F.col("r.k1").alias("_sim1"), F.col("r.k2").alias("_sim2"))
     joined = docs.select("*", one.alias("_sim1"), two.alias("_sim2")).join(stay, ["_sim1", "_sim2"])
