@@ -16,15 +16,14 @@ def _quoted(pattern: str) -> str:
 
 def _functions() -> dict[str, tuple[str, str, str]]:
     """name: parameters, type, body."""
-    word = f"filter(split(t, {_quoted(f'(?U){WS}+')}), w -> w <> '')"
-    clean = f"lower(trim(regexp_replace(regexp_replace(t, {_quoted(f'[^{LETTERS}\\s]')}, ' '), {_quoted('\\s+')}, ' ')))"
+    clean = f"lower(trim(regexp_replace(t, {_quoted(f'[^{LETTERS}]+')}, ' ')))"
     both = "size(array_intersect(x, y))"
     score = f"CASE WHEN size(x) > 0 AND size(y) > 0 THEN {both} / (size(x) + size(y) - {both}) ELSE 0.0D END"
     marks = " OR ".join(f"t RLIKE {_quoted('(?U)' + p)}" for p in REPAIR_SIGNS.values())
     return {
         "strip_space": ("t STRING", "STRING", f"regexp_replace(t, {_quoted(f'(?U)^{WS}+|{WS}+$')}, '')"),
-        "word_count": ("t STRING", "BIGINT", f"CAST(size({word}) AS BIGINT)"),
-        "sentence_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted('(?U)\\w+[.!?](?:\\s|$)')}) AS BIGINT)"),
+        "word_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted('(?U)[^\\s\\x1c-\\x1f]+')}) AS BIGINT)"),
+        "sentence_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted('(?U)\\w[.!?](?:\\s|$)')}) AS BIGINT)"),
         "clean_text": ("t STRING", "STRING", clean),
         "word_set": ("t STRING", "ARRAY<STRING>", f"array_distinct(filter(split({clean}, ' '), w -> w <> ''))"),
         "set_similarity": ("x ARRAY<STRING>, y ARRAY<STRING>", "DOUBLE", score),

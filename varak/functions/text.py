@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    return F.regexp_count(text, F.lit("(?U)[^\\s\\x1c-\\x1f]+")).cast("long")
 
 
 def char_count(text: Column) -> Column:
@@ -39,7 +39,7 @@ def char_count(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Words that end in exactly one mark, before white space or the end; runs of marks count as none."""
-    return F.regexp_count(text, F.lit("(?U)\\w+[.!?](?:\\s|$)")).cast("long")
+    return F.regexp_count(text, F.lit("(?U)\\w[.!?](?:\\s|$)")).cast("long")
 
 
 def clean_text(text: Column) -> Column:
@@ -47,7 +47,7 @@ def clean_text(text: Column) -> Column:
 
     Circumflex letters, digits and punctuation become blanks. Lower-casing knows no locale: ``I`` becomes ``i``.
     """
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, f"[^{LETTERS}\\s]", " "), "\\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(text, f"[^{LETTERS}]+", " ")))
 
 
 def word_set(text: Column) -> Column:
