@@ -130,6 +130,35 @@ def test_contamination(spark, docs):
     assert D.contaminated(df, bench.limit(0)).count() == 0 and D.contaminated(df.limit(0), bench).count() == 0
 
 
+def align_without_seeds(rows, bench):
+    """The contaminated (document, item) pairs and scores by aligning every item with every whole text."""
+    out = []
+    for d, text in rows:
+        for i, item in bench:
+            block = D.Items([(i, item)])
+            for own in block.words:
+                score = D.align(own, block.numbers(text))[0]
+                if score >= min(D.THRESHOLD * D.MATCH * len(own), D.LONG_SCORE):
+                    out.append((d, i, score / (D.MATCH * len(own))))
+    return sorted(out)
+
+
+def test_frequent_passages_are_contaminated(spark, docs):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    items = [(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"b{i}" for i in range(15)))]
+    rows = []
+    for d in range(120):  # every second document has a part of an item; the rest of the item is nowhere
+        item = items[d // 2 % 2][1].split()
+        part = item[: 18 if len(item) == 40 else 7] if d % 2 else []
+        rows.append((d, " ".join(rng.choices(words, k=20) + part + rng.choices(words, k=20))))
+    item = items[0][1].split()[10:]  # stretched copies: words put between those of the first 26, the last 4 intact
+    rows += [(200 + i, " ".join(w + " x" * (j < 26) + " y" * (26 - i <= j < 26) for j, w in enumerate(item))) for i in (0, 5, 9, 10, 11)]
+    want = align_without_seeds(rows, items)
+    got = D.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) == 64 and sorted((r.doc_id, r.item_id, r.score) for r in got) == want
+
+
 def test_items_in_several_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(12))) for i in range(30)], "item_id long, text string")
     monkeypatch.setattr(D, "BLOCK_BYTES", 300)

@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The items are the query set, taken in blocks of bounded size; every block is laid against all documents. A first pass
-counts in how many documents each n-gram of an item occurs; the rare ones become seeds. A second pass aligns the words
-around each seed found in a document with the item, so edited and partly copied items score too.
+The items are the query set, taken in blocks of bounded size; every block is laid against all documents in one pass.
+Every n-gram of an item is a seed, however many documents have it. The words around each seed found in a document are
+aligned with the item, so edited and partly copied items score too.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -21,8 +21,6 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructF
 from .common import cut, table
 
 NGRAM = 4
-#: An n-gram is a seed if at most this share of the documents has it, or if it is of the rarer half of its item's.
-RARE_SHARE = 0.001
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated by an item if the best alignment reaches this share of a full copy's score, or this score.
 THRESHOLD, LONG_SCORE = 0.4, 24
@@ -70,11 +68,11 @@ class Items:
             code ^= code >> np.uint64(29)
         return at, code.view(np.int64)
 
-    def found(self, numbers: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, code = self.codes(numbers)
-        if not len(at) or not len(among):
-            return at[:0], code[:0]
-        hit = among[np.minimum(np.searchsorted(among, code), len(among) - 1)] == code
+        if not len(at):
+            return at, code
+        hit = self.grams[np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)] == code
         return at[hit], code[hit]
 
 
@@ -93,10 +91,10 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def matches(items: Items, seeds: np.ndarray, text: str | None, threshold: float, long_score: int) -> list[tuple]:
+def matches(items: Items, text: str | None, threshold: float, long_score: int) -> list[tuple]:
     """(item id, score, first word, word after the last) of each item that contaminates the text."""
     numbers = items.numbers(text)
-    at, code = items.found(numbers, seeds)
+    at, code = items.found(numbers)
     starts = defaultdict(set)
     for p, c in zip(at.tolist(), code.tolist()):
         for k, q in items.places[c]:
@@ -105,7 +103,7 @@ def matches(items: Items, seeds: np.ndarray, text: str | None, threshold: float,
     for k in sorted(starts):
         item = items.words[k]
         n, best = len(item), None
-        slack, group = n // 2 + 2, []
+        slack, group = 2 * n, []  # an alignment above 0 has fewer errors than twice its matches, so it reaches no further
         for s in [*sorted(starts[k]), None]:
             if group and (s is None or s - group[-1] > n):
                 low, high = max(0, group[0] - slack), min(len(numbers), group[-1] + n + slack)
@@ -137,46 +135,19 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int,
     return n, read()
 
 
-def rare_seeds(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
-    """Count in how many of all documents each n-gram occurs, and keep the rare ones."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        n = 0
-        for pdf in batches:
-            n += len(pdf)
-            for text in pdf["t"]:
-                seen.update(set(items.found(items.numbers(text), items.grams)[1].tolist()))
-        seen_codes = list(seen)
-        yield pd.DataFrame({"code": [None, *seen_codes], "n": [n, *[seen[c] for c in seen_codes]]}).astype({"code": "Int64"})
-
-    rows = docs.select(F.col(text_col).alias("t")).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    df = {r["code"]: r["n"] for r in rows}
-    total, keep = df.pop(None, 0), set()
-    by_item = defaultdict(set)
-    for code, places in items.places.items():
-        if df.get(code, 0) <= RARE_SHARE * total:
-            keep.add(code)
-        for k, _ in places:
-            by_item[k].add(code)
-    for codes in by_item.values():
-        keep.update(sorted(codes, key=lambda c: (df.get(c, 0), c))[: (len(codes) + 1) // 2])
-    return np.array(sorted(keep), dtype=np.int64)
-
-
-def _aligner(items: Items, seeds: np.ndarray, threshold: float, long_score: int, schema: ArrayType):
+def _aligner(items: Items, threshold: float, long_score: int, schema: ArrayType):
     @F.pandas_udf(schema)
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[dict(zip(("item_id", "score", "first_word", "end_word"), m)) for m in matches(items, seeds, t, threshold, long_score)] for t in texts])
+            yield pd.Series([[dict(zip(("item_id", "score", "first_word", "end_word"), m)) for m in matches(items, t, threshold, long_score)] for t in texts])
 
     return aligned
 
 
-def hits(docs: DataFrame, items: Items, kind: DataType, text_col: str, threshold: float, long_score: int) -> Column:
-    """A column of docs: the array of the items of one block that contaminate its text."""
+def hits(items: Items, kind: DataType, text_col: str, threshold: float, long_score: int) -> Column:
+    """A column of the documents: the array of the items of one block that contaminate its text."""
     schema = ArrayType(StructType([StructField("item_id", kind), StructField("score", DoubleType()), StructField("first_word", LongType()), StructField("end_word", LongType())]))
-    return _aligner(items, rare_seeds(docs, text_col, items), threshold, long_score, schema)(F.col(text_col))
+    return _aligner(items, threshold, long_score, schema)(F.col(text_col))
 
 
 def contaminated(
@@ -194,7 +165,7 @@ def contaminated(
     n, blocks = item_blocks(benchmark, item_id, item_text)
     parts = []
     for items in blocks:
-        found = docs.select(F.col(id_col), F.explode(hits(docs, items, kind, text_col, threshold, long_score)).alias("_m"))
+        found = docs.select(F.col(id_col), F.explode(hits(items, kind, text_col, threshold, long_score)).alias("_m"))
         found = found.select(id_col, *[F.col(f"_m.{c}").alias(item_id if c == "item_id" else c) for c in names])
         parts.append(cut(found) if n > 1 else found)  # so that the driver holds one block at a time
     if not parts:
@@ -207,7 +178,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     n, blocks = item_blocks(benchmark, item_id, item_text)
     kept = docs
     for items in blocks:
-        kept = kept.where(F.size(hits(docs, items, benchmark.schema[item_id].dataType, text_col, threshold, long_score)) == 0)
+        kept = kept.where(F.size(hits(items, benchmark.schema[item_id].dataType, text_col, threshold, long_score)) == 0)
         kept = cut(kept) if n > 1 else kept
     return kept
 
