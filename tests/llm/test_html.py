@@ -60,6 +60,20 @@ def test_edge_pages(page, text):
     assert H.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One.</p><svg class='i'/><p>Two is long.</p></article>", "One.\n\nTwo is long."),
+        ("<article><p>One <math/>two <svg a='/>' />three.</p><p>Four.</p></article>", "One two three.\n\nFour."),
+        ("<article><svg-icon></svg-icon><p>One.</p><p>Two.</p></article>", "One.\n\nTwo."),
+        ("<title-bar><select-box/></title-bar><article><p>One.</p></article>", "One."),
+        ("<article><p>One.</p><svg a='/>'>no</svg><SVG>no</SVG><svg\n>no</svg><p>Two.</p></article>", "One.\n\nTwo."),
+    ],
+)
+def test_raw_elements_end_where_they_should(page, text):
+    assert H.extract(page) == text
+
+
 def test_very_long_and_deep_pages():
     body = "".join(f"<p>Paragraph number {i} of the long text.</p><div class=ad>Buy {i}</div>" for i in range(20_000))
     assert len(H.extract(f"<article>{body}</article>").split("\n\n")) == 20_000

@@ -23,7 +23,8 @@ from .common import table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"""|<(?P<empty>svg|math)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)"
@@ -124,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
-            if m["raw"]:
+            if m["raw"] or m["empty"]:
                 buffer.append(" ")
             continue
         name, attrs = name.lower(), m["attrs"] or m["attrs2"] or ""
