@@ -59,6 +59,32 @@ def test_codewords_differ_in_many_bits(n):
     assert (np.abs(book.sum(axis=0)) < n).all()
 
 
+def test_all_of_many_languages_are_learned(docs, monkeypatch):
+    rng, rows = random.Random(8), []
+    for k in range(80):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=20)), f"l{k:02}", "s") for i in range(8 if k < 79 else 60)]
+    df = docs(rows)
+    for full in (64, 0.75, 0.1):  # all rows, about 4 of each, and the least hash of some
+        monkeypatch.setattr(I, "FIT_FULL", full)
+        model = I.fit(df)
+        assert len(model.langs) == 80
+        right = [model.langs[k] == r[2] for k, r in zip(model.predict([r[1] for r in rows])[0], rows)]
+        assert np.mean(right) > (0.95 if full > 0.1 else 0.5)
+
+
+def test_many_codewords_and_losses():
+    book = I.codebook(6000)
+    assert len(np.unique(book, axis=0)) == 6000
+    rng = np.random.default_rng(1)
+    book, f = I.codebook(12), rng.normal(size=(5, 4096))
+    share = rng.random(book.shape)
+    model = I.Model(tuple("abcdefghijkl"), book, share, rng.normal(size=(4096, book.shape[1])), rng.normal(size=book.shape[1]), 0.0)
+    bits = f @ model.weights + model.bias
+    want = [[sum(share[k] * np.logaddexp(0, -book[k] * b)) for k in range(12)] for b in bits]
+    assert np.allclose(model.losses(f), want)
+
+
 def test_ambiguity_is_flagged():
     rows = corpus(200)
     x = I.trigram_counts([r[1] for r in rows])

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKET_BITS = 12
-#: The classifiers are fitted on about this many documents of each language and at most this many languages (the most
-#: frequent), chosen by a hash of the id: the bound on what the driver sees. Everything else covers all rows.
-FIT_ROWS, FIT_LANGUAGES = 400, 64
+#: The classifiers are fitted on about this many documents of each language, chosen by a hash of the id, and fewer of each
+#: (but one at least) where there are more than FIT_FULL languages: the bound on what the driver sees. All are learned.
+FIT_ROWS, FIT_FULL = 400, 64
 #: Losses are per bit; a lead below this flags a text as ambiguous.
 MARGIN = 0.02
 CHUNK = 1 << 22
@@ -56,7 +56,10 @@ def codebook(n: int, seed: int = 7) -> np.ndarray:
     if n <= 5:
         return np.array([[1] + list(bits) for bits in product((1, -1), repeat=n - 1) if -1 in bits], dtype=float).T
     rng, best, width = np.random.default_rng(seed), None, max(15, int(np.ceil(10 * np.log2(n))))
-    for _ in range(200):
+    tries = min(200, 200 * 256**2 // n**2)  # comparing all pairs is quadratic; the width alone keeps many codewords apart
+    if not tries:
+        return rng.choice([-1.0, 1.0], size=(n, width))
+    for _ in range(tries):
         book = rng.choice([-1.0, 1.0], size=(n, width))
         apart = ((width - book @ book.T) / 2)[~np.eye(n, dtype=bool)].min()
         if best is None or apart > best[0]:
@@ -75,7 +78,8 @@ class Model:
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         f = x @ self.weights + self.bias
-        return np.einsum("lk,nlk->nl", self.bit_weights, np.logaddexp(0, -self.book[None] * f[:, None, :]))
+        up, down = (np.where(self.book == sign, self.bit_weights, 0.0).T for sign in (1, -1))
+        return np.logaddexp(0, -f) @ up + np.logaddexp(0, f) @ down
 
     def predict(self, texts: list[str], step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, score (0 to 1) and ambiguity of each text."""
@@ -116,15 +120,16 @@ def held_out(id_col: str) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, margin: float = MARGIN) -> Model | None:
-    """Fit on about fit_rows documents of each language, from rows with a lang and an id that is not held out."""
+    """Fit on about fit_rows documents of each language (fewer if there are over FIT_FULL), from rows with a lang and an id that is not held out."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where("lang is not null and id is not null and text is not null").where(~held_out("id"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("least")).collect()
     if not counts:
         return None
-    draw, keep = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (draw < int(min(1.0, fit_rows / r["count"]) * (1 << 30))))
+    each = fit_rows * min(1.0, FIT_FULL / len(counts))
+    limits = [(r["lang"], max(int(min(1.0, each / r["count"]) * (1 << 30)), r["least"] + 1)) for r in counts]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,12 +137,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 part = pdf.iloc[a : a + 256]
                 yield pd.DataFrame({"id": part["id"].astype(str), "lang": part["lang"], "x": [r.tobytes() for r in trigram_counts(part["text"].tolist()).astype(np.float16)]})
 
-    found = known.where(keep).mapInPandas(features, "id string, lang string, x binary").toPandas().sort_values(["lang", "id", "x"])
+    drawn = known.join(limits, "lang").where(draw < F.col("below")).select("id", "text", "lang")
+    found = drawn.mapInPandas(features, "id string, lang string, x binary").toPandas().sort_values(["lang", "id", "x"])
     langs = tuple(sorted(found["lang"].unique()))
     if not langs:
         return None
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float16).reshape(len(found), -1).astype(np.float32)
-    return train(x, found["lang"].map(langs.index).to_numpy(), langs, margin)
+    return train(x, found["lang"].map({lang: k for k, lang in enumerate(langs)}).to_numpy(), langs, margin)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "") -> DataFrame:
