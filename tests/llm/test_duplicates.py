@@ -159,6 +159,37 @@ def test_frequent_passages_are_contaminated(spark, docs):
     assert len(want) == 64 and sorted((r.doc_id, r.item_id, r.score) for r in got) == want
 
 
+def test_edited_copies_equal_alignment_without_seeds(spark, docs):
+    rng = random.Random(5)
+    items = [(n, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for n in (4, 5, 9, 15, 25, 38, 59)]
+    rows = [(n, " ".join(w if i % 4 < 3 else "new" for i, w in enumerate(t.split()))) for n, t in items if n >= 15]
+    for n, t in items * 20:
+        rate, copy = rng.choice([0.25, 0.35, 0.5]), []
+        for w in t.split():
+            edit = rng.random() < rate and rng.choice(["replace", "insert", "delete"])
+            copy += {False: [w], "replace": ["new"], "insert": [w, "new"], "delete": []}[edit]
+        rows.append((len(rows) + 100, " ".join(rng.choices([f"w{i}" for i in range(400)], k=30) + copy)))
+    want = align_without_seeds(rows, items)
+    assert {(n, n) for n in (15, 25, 38, 59)} <= {w[:2] for w in want}
+    got = D.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == want
+
+
+@pytest.mark.parametrize("held", [1 << 22, 7])
+@pytest.mark.parametrize("threshold, long_score", [(D.THRESHOLD, D.LONG_SCORE), (0.2, 8), (1.0, 10**6), (0.1, 2)])
+def test_no_alignment_is_lost(monkeypatch, held, threshold, long_score):
+    monkeypatch.setattr(D, "HELD_PAIRS", held)
+    rng = random.Random(6)
+    for _ in range(60):
+        size = rng.choice([3, 10, 40])
+        text = lambda n: " ".join(f"w{rng.randrange(size)}" for _ in range(n))  # noqa: B023, E731
+        block = D.Items([(i, text(rng.randint(1, 30))) for i in range(6)])
+        page = text(rng.randint(0, 80)) + " out of list"
+        scores = {i: D.align(own, block.numbers(page))[0] for i, own in zip(block.ids, block.words)}
+        want = {i: s / (2 * len(own)) for (i, s), own in zip(scores.items(), block.words) if s and s >= min(threshold * 2 * len(own), long_score)}
+        assert {m[0]: m[1] for m in D.matches(block, page, threshold, long_score)} == want
+
+
 def test_items_in_several_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(f"{i}x{k}" for k in range(12))) for i in range(30)], "item_id long, text string")
     monkeypatch.setattr(D, "BLOCK_BYTES", 300)

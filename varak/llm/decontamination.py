@@ -1,13 +1,15 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: close word pairs, then Smith-Waterman alignment.
 
 The items are the query set, taken in blocks of bounded size; every block is laid against all documents in one pass.
-Every n-gram of an item is a seed, however many documents have it. The words around each seed found in a document are
-aligned with the item, so edited and partly copied items score too.
+A pair is two words next to each other or with one word between. A match adds 2 to an alignment's score and an error
+takes 1, so the score is at most 2 (the last match), plus 2 for every two matches in a row, plus 1 for every two matches
+that one error parts; two or more errors outweigh a match. All but 2 of the score thus comes from pairs that item and
+document share, and an alignment above 0 covers less than three words of the document for each of the item. Only
+stretches with enough shared pairs are aligned, which loses nothing against aligning every item with every document.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
@@ -20,12 +22,15 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructF
 
 from .common import cut, table
 
-NGRAM = 4
+#: Items of fewer words are not searched.
+LEAST_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated by an item if the best alignment reaches this share of a full copy's score, or this score.
 THRESHOLD, LONG_SCORE = 0.4, 24
 #: Bytes of item text that one block may hold; more items mean more blocks, each laid against all documents.
 BLOCK_BYTES = 8 << 20
+#: Shared pairs of one document that are held at a time.
+HELD_PAIRS = 1 << 22
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -35,45 +40,88 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of items: vocabulary, item words as numbers, and the n-grams with their places."""
+    """A block of items: vocabulary, item words as numbers, and the items that own each pair of words."""
 
     def __init__(self, items: list[tuple]):
         self.ids, self.vocab, self.words = [], {}, []
         for item_id, text in items:
             own = tokens(text)
-            if len(own) >= NGRAM:
+            if len(own) >= LEAST_WORDS:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in own], dtype=np.int64))
-        places = defaultdict(list)
-        for k, own in enumerate(self.words):
-            for at, code in enumerate(self.codes(own)[1].tolist()):
-                places[code].append((k, at))
-        self.places = dict(places)
-        self.grams = np.array(sorted(self.places), dtype=np.int64)
+        self.sizes = np.array([len(own) for own in self.words], dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        found = [(k, gap, self.pairs(own, gap)[1]) for k, own in enumerate(self.words) for gap in (1, 2)]
+        code = np.concatenate([none, *[c for _, _, c in found]])
+        owner = np.concatenate([none, *[np.full(len(c), k) for k, _, c in found]])
+        apart = np.concatenate([none, *[np.full(len(c), gap) for _, gap, c in found]])
+        order = np.lexsort((apart, owner, code))
+        code, owner, apart = code[order], owner[order], apart[order]
+        fresh = np.ones(len(code), dtype=bool)
+        fresh[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        self.owner, self.apart = owner[fresh], apart[fresh]
+        self.codes, first = np.unique(code[fresh], return_index=True)
+        self.first = np.append(first, len(self.owner))
 
     def numbers(self, text: str | None) -> np.ndarray:
         own = tokens(text)
         return np.fromiter(map(self.vocab.get, own, repeat(-1)), dtype=np.int64, count=len(own))
 
-    def codes(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, codes) of the n-grams made of known words only."""
-        n = len(numbers) - NGRAM + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        known = np.concatenate([[0], np.cumsum(numbers >= 0)])
-        at = np.flatnonzero(known[NGRAM:] - known[:-NGRAM] == NGRAM)
-        code = np.zeros(len(at), dtype=np.uint64)
-        for k in range(NGRAM):  # a mixed 64-bit code; alignment makes a chance collision harmless
-            code = (code ^ numbers[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        return at, code.view(np.int64)
-
-    def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, code = self.codes(numbers)
-        if not len(at):
-            return at, code
-        hit = self.grams[np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)] == code
-        return at[hit], code[hit]
+    def pairs(self, numbers: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, codes) of the pairs of known words that are gap words apart."""
+        a, b = numbers[:-gap], numbers[gap:]
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        return at, a[at] * len(self.vocab) + b[at]
+
+    def shared(self, numbers: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, position, most that the pair adds to a score) of the pairs that text and items share, by item and
+        position, each once; a part of the items at a time if there are too many."""
+        at, slot, gap = [], [], []
+        for g in (1, 2):
+            p, code = self.pairs(numbers, g)
+            if len(p) and len(self.codes):
+                s = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = np.flatnonzero(self.codes[s] == code)
+                at.append(p[hit])
+                slot.append(s[hit])
+                gap.append(np.full(len(hit), g))
+        if not at or not sum(map(len, at)):
+            return
+        at, slot, gap = map(np.concatenate, (at, slot, gap))
+        count = self.first[slot + 1] - self.first[slot]
+        upto = np.cumsum(count)
+        parts = int(1 + upto[-1] // HELD_PAIRS)
+        cuts = np.unique(np.searchsorted(upto, np.arange(1, parts) * HELD_PAIRS))
+        for part in range(parts):
+            held = []
+            for some in np.split(np.arange(len(at)), cuts) if parts > 1 else [slice(None)]:
+                n = count[some]
+                place = np.repeat(self.first[slot[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                item, p, close = self.owner[place], np.repeat(at[some], n), (self.apart[place] == 1) & (np.repeat(gap[some], n) == 1)
+                own = slice(None) if parts == 1 else item % parts == part
+                held.append((item[own], p[own], 1 + close[own]))
+            item, p, worth = (np.concatenate(x) for x in zip(*held)) if parts > 1 else held[0]
+            order = np.lexsort((-worth, p, item))
+            item, p, worth = item[order], p[order], worth[order]
+            fresh = np.ones(len(item), dtype=bool)
+            fresh[1:] = (item[1:] != item[:-1]) | (p[1:] != p[:-1])
+            yield item[fresh], p[fresh], worth[fresh]
+
+    def stretches(self, numbers: np.ndarray, least: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By item, the stretches of the text that hold every alignment of at least that item's score."""
+        out = {k: [(0, len(numbers))] for k in np.flatnonzero(least <= 2).tolist()}  # here one word would do
+        for item, p, worth in self.shared(numbers):
+            span = 3 * self.sizes[item]
+            key = item * (len(numbers) + 3 * int(self.sizes.max()) + 1) + p
+            total = np.concatenate([[0], np.cumsum(worth)])
+            enough = total[np.searchsorted(key, key + span, side="right")] - total[:-1] >= least[item] - 2
+            for k, low, high in zip(item[enough].tolist(), p[enough].tolist(), (p + span)[enough].tolist()):
+                own = out.setdefault(k, [])
+                if own and low <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(high, own[-1][1]))
+                else:
+                    own.append((low, high))
+        return out
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
@@ -91,29 +139,28 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most(item: np.ndarray, part: np.ndarray) -> int:
+    """At least the alignment's score: the best stretch of part if every word that the item has somewhere matched."""
+    total = np.concatenate([[0], np.cumsum(np.where(np.isin(part, item), MATCH, MISMATCH))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def matches(items: Items, text: str | None, threshold: float, long_score: int) -> list[tuple]:
     """(item id, score, first word, word after the last) of each item that contaminates the text."""
     numbers = items.numbers(text)
-    at, code = items.found(numbers)
-    starts = defaultdict(set)
-    for p, c in zip(at.tolist(), code.tolist()):
-        for k, q in items.places[c]:
-            starts[k].add(p - q)
     out = []
-    for k in sorted(starts):
+    least = np.minimum(threshold * MATCH * items.sizes, long_score)
+    for k, parts in sorted(items.stretches(numbers, least).items()):
         item = items.words[k]
-        n, best = len(item), None
-        slack, group = 2 * n, []  # an alignment above 0 has fewer errors than twice its matches, so it reaches no further
-        for s in [*sorted(starts[k]), None]:
-            if group and (s is None or s - group[-1] > n):
-                low, high = max(0, group[0] - slack), min(len(numbers), group[-1] + n + slack)
-                score, end = align(item, numbers[low:high])
-                if best is None or score > best[0]:
-                    best = (score, low, low + end)
-                group = []
-            group.append(s)
+        n, best = len(item), (0, 0, 0)
+        for low, high in parts:
+            if most(item, numbers[low:high]) < least[k]:
+                continue
+            score, end = align(item, numbers[low:high])
+            if score > best[0]:
+                best = (score, low, low + end)
         score, low, stop = best
-        if score >= min(threshold * MATCH * n, long_score):
+        if score and score >= least[k]:
             back = align(item[::-1], numbers[low:stop][::-1])[1]
             out.append((items.ids[k], score / (MATCH * n), stop - back, stop))
     return out
@@ -157,7 +204,7 @@ def contaminated(
     """One row for each document and item that contaminates it: id, item_id, score (1: full copy), first_word, end_word.
 
     Words are lower-cased and cut at white space and ASCII punctuation; first_word and end_word count them from 0.
-    Null texts and null items match nothing; items of under NGRAM words are too short to prove a copy and are not
+    Null texts and null items match nothing; items of under LEAST_WORDS words are too short to prove a copy and are not
     searched. Ids may be null or repeat: each row is judged by its own whole text. Empty tables give no rows.
     """
     kind = benchmark.schema[item_id].dataType
