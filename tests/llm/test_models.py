@@ -128,6 +128,20 @@ def test_toxicity_finds_documents_and_sentences(spark, docs):
     assert found and all(any(b in r.sentence for b in ("vilewort", "grimlout", "foulbert")) for r in found)
 
 
+def test_rare_toxicity_is_learned(spark, docs):
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(6000):
+        parts = [" ".join(rng.choice(WORDS["en"]) for _ in range(8)) for _ in range(4)]
+        if i % 150 == 0:
+            parts[rng.randrange(4)] += " you vilewort"
+        rows.append((i, ". ".join(parts) + ".", "en", "s"))
+        labels.append((i, 1, int(i % 150 == 0)))
+    df = docs(rows)
+    got = X.score(df, X.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), fit_rows=200)).collect()
+    assert {r.doc_id for r in got if r.predicted} == {i for i, _, y in labels if y}
+    assert np.mean([r.score for r in got if r.doc_id % 150]) < 0.01  # not the drawn share
+
+
 def test_toxicity_ignores_held_out_labels(spark, docs):
     rows, labels = toxic_corpus(200)
     spoiled = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: The model is fitted on about this many labelled documents, chosen by a hash of the id, and has at most MAX_FEATURES.
-FIT_ROWS, MAX_FEATURES = 8000, 4000
+#: The model is fitted on about this many labelled documents, chosen by a hash of the id: at their own shares if those
+#: give LEAST_TOXIC toxic ones, else toxic and harmless ones apart, half of it each. It has at most MAX_FEATURES.
+FIT_ROWS, LEAST_TOXIC, MAX_FEATURES = 8000, 400, 4000
 PREFIXES = (4, 5, 6, 7)
 #: Byte for byte: A-Z to a-z, sentence ends to a line break, other ASCII that isn't a letter or digit to a blank.
 _TABLE = bytes(
@@ -114,8 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on about fit_rows labelled documents that are not held out. Ids labelled twice count as toxic if ever so."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").where(~held_out("id"))
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    count = known.count()
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, fit_rows / max(1, count)) * (1 << 30))
+    sizes = dict(map(tuple, known.groupBy(F.col("y") > 0).count().collect()))
+    toxic, harmless = sizes.get(True, 0), sizes.get(False, 0)
+    share = min(1.0, fit_rows / max(1, toxic + harmless))
+    shares = (share, share)
+    if share < 1 and toxic * share < min(LEAST_TOXIC, fit_rows / 2):
+        shares = (min(1.0, fit_rows / 2 / max(1, toxic)), min(1.0, fit_rows / 2 / max(1, harmless)))
+    below = F.when(F.col("y") > 0, int(shares[0] * (1 << 30))).otherwise(int(shares[1] * (1 << 30)))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < below
     few = F.broadcast(known.where(draw))  # about fit_rows rows, whatever the data
     sample = cut(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(few, "id"))
 
@@ -147,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.mapInPandas(bags, "id string, y int, clean int, held array<array<int>>").toPandas().sort_values("id")
     weights, bias, leak = _noisy_or([(y, c, [list(s) for s in h]) for y, c, h in zip(got["y"], got["clean"], got["held"])], len(index))
-    return Model({f: float(weights[i]) for f, i in index.items()}, bias, leak)
+    shift = np.log(shares[0] / shares[1])  # toxic ones were drawn so much more often: bias and leak go back to all labels
+    leak = leak / (leak + (1 - leak) * np.exp(shift))
+    return Model({f: float(weights[i]) for f, i in index.items()}, float(bias - shift), float(leak))
 
 
 RESULT = "score double, n_sentences long, n_offending long, worst_start long, worst_end long, worst_score double, spans array<struct<start:long,end:long,score:double>>"
