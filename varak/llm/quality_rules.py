@@ -106,7 +106,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     base_failed, kept (boolean), n_stop_words, n_lines, n_echo_words (long; equal to the word before).
 
     A document is kept if it passes the base test (at least 20 words, and at most 30 % of its words inside 8-word
-    windows that recur in it) and all rules. A null text has no words and fails. Rows are judged alone: null or
+    windows that recur in it) and all rules. The stop words are English, German, French and Spanish, so ordinary text
+    in any other language fails that rule; pass other rules for it. A null text has no words and fails. Rows are judged alone: null or
     repeated ids, other columns and empty tables need no care. One narrow stage of built-in functions.
     """
     m = docs.select(F.col(id_col), _measures(F.col(text_col)).alias("_m"))
