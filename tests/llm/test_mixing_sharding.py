@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tests.llm.conftest import SMALL, needs_data
 from varak.llm import mixing as M
 from varak.llm import sharding as H
 
@@ -77,6 +78,36 @@ def test_mix_repeats_rows_as_planned(docs):
     assert Counter(r.doc_id for r in mixed.collect()) == +plan
 
 
+def test_small_documents_are_decided_one_by_one():
+    sizes, p, seen, up = np.array([900, 60, 50, 40, 30, 20, 10]), 0.5, Counter(), np.zeros(7)
+    for seed in range(2000):
+        rng = np.random.default_rng(seed)
+        x, left = M.round_block(sizes, p, rng)
+        assert abs((x * sizes).sum() - p * sizes.sum()) < 1e-6
+        x[left] = float(rng.random() < x[left])
+        seen[tuple(x[1:])] += 1
+        up += x
+    assert len(seen) > 15 and max(seen.values()) < 400
+    assert abs(up / 2000 - p).max() < 0.045
+
+
+@needs_data
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_meets_the_targets(spark, sf):
+    folder = SMALL.replace("0.001", sf)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source").collect()}
+    taken, target, large, size = defaultdict(int), {}, defaultdict(int), defaultdict(int)
+    for r in M.query(spark, folder).collect():
+        s = source[r.doc_id]
+        taken[s], target[s], large[s], size[s] = taken[s] + r.taken, r.target, max(large[s], r.size), size[s] + r.size
+        assert r.taken <= 3 * r.size
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    assert [target[s] for s in order] == pytest.approx(water([size[s] for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))]))
+    off = {s: abs(taken[s] - target[s]) for s in order}
+    assert all(off[s] <= (large[s] if sf == "0.001" else max(large[s] / 2, 0.01 * target[s])) for s in order), off
+    assert sf == "0.001" or sorted(off[s] / target[s] for s in order)[len(order) // 2] < 0.01
+
+
 def test_expectation_is_kept():
     up = np.zeros(40)
     for seed in range(600):
@@ -84,10 +115,31 @@ def test_expectation_is_kept():
         x, left = M.round_block(sizes, 0.3, np.random.default_rng(seed))
         assert all(v in (0.0, 1.0) for i, v in enumerate(x) if i != left)
         assert abs((x * sizes).sum() - 0.3 * sizes.sum()) < 1e-6
+        if left >= 0:
+            x[left] = float(np.random.default_rng(10_000 + seed).random() < x[left])
         up += x
     assert abs(up / 600 - 0.3).max() < 0.09
 
 
+@pytest.mark.parametrize("spread", [1_000_000, 3])
+def test_many_identical_rows(docs, monkeypatch, spread):
+    from varak.llm import common
+
+    monkeypatch.setattr(common, "SPREAD", spread)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(M, "BLOCK", 8)
+    rows = [(None, "one text for all", "en", "a")] * 41 + [(i, "w " * (i % 9 + 1), "en", "ab"[i % 2]) for i in range(60)]
+    df = docs(rows).repartition(3).withColumnRenamed("n_chars", "_mix1")
+    got = M.plan(df).collect()
+    assert len(got) == len(rows)
+    mixed = M.mix(df)
+    assert mixed.columns == df.columns
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixed.collect()) == +want and 0 < want[None] != 41
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None)], [(1, "", "en", "a"), (1, "", "en", "a")], [(None, "a", None, None)]])
 def test_mixing_of_edge_tables(docs, rows):
     got = M.plan(docs(rows)).collect()

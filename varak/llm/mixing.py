@@ -1,10 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source starts with the same fractional number of copies, target / source size. Its whole part is
-taken for certain. The fractional parts are rounded in pairs: words are moved at random between two units until one of
-them holds whole copies, so each document keeps its expectation and the words of the source stay constant. Blocks of
-documents round on their own; the one document that each block leaves fractional goes up a reduction tree, where the
-survivors duel in turn, until a source has one left, which goes to the nearer side.
+taken for certain. The fractional parts are rounded in pairs: words are moved at random between two documents until one
+of them holds whole copies, so each document keeps its expectation and the words of the source stay constant. The
+documents of a block duel in the order of falling sizes, so that partners are of like size. Only a document too large for
+any single partner is paired with all the smaller ones together: each of them gives or takes the same small share, and
+none of them turns whole by it. The one document that each block leaves fractional goes up a reduction tree, where the
+survivors duel in turn, until a source has one left, which is rounded by chance.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, identity, table
+from .common import attach, cut, free, identity, numbered, spread, table
 
 #: Documents that one task rounds at once, on average; survivors that one tree node joins at most.
 BLOCK, FAN_IN = 2048, 512
 EPS = 1e-9
+#: A document over LARGE times the size of its next partner is paired with all smaller ones, if that leaves their fraction
+#: at least MARGIN (or half of what it was, if that is less) away from 0 and 1.
+LARGE, MARGIN = 2.0, 0.05
 SPACE_RUN = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -81,24 +86,27 @@ def _whole(x: float) -> bool:
 
 
 def round_block(sizes: np.ndarray, p: float, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Round documents, of falling size, that all hold the fraction p: (fractions, index left fractional or -1).
-
-    The largest open document duels with all smaller ones as one unit, which share their fraction.
-    """
-    x, rest = np.zeros(len(sizes)), np.append(np.cumsum(sizes[::-1])[::-1][1:], 0)
-    for i, a in enumerate(sizes):
-        if _whole(p):
-            x[i:] = round(p)
-            return x, -1
-        if not rest[i]:
-            x[i] = p
-            return x, i
-        x[i], p = _duel(float(a), p, float(rest[i]), p, rng.random())
-        if not _whole(x[i]):
-            x[i + 1 :] = round(p)
-            return x, i
-        x[i] = round(x[i])
-    return x, -1
+    """Round documents, of falling size, that all hold the fraction p: (fractions, index left fractional or -1)."""
+    x, rest, left = np.zeros(len(sizes)), np.cumsum(sizes[::-1])[::-1], -1
+    for i, b in enumerate(sizes.tolist()):
+        if left < 0:
+            x[i], left = p, i if not _whole(p) else -1
+            continue
+        a, own = float(sizes[left]), x[left]
+        if a > LARGE * b:
+            low, high = p - (1 - own) * a / rest[i], p + own * a / rest[i]  # the others' fraction if left goes in, or out
+            if low > min(MARGIN, p / 2) and high < 1 - min(MARGIN, (1 - p) / 2):
+                x[left], p = (1.0, low) if rng.random() < own else (0.0, high)
+                x[i], left = p, i
+                continue
+        x[left], x[i] = _duel(a, own, float(b), p, rng.random())
+        if _whole(x[left]):
+            x[left], left = round(x[left]), i
+        else:
+            x[i] = round(x[i])
+        if _whole(x[left]):
+            x[left], left = round(x[left]), -1
+    return x, left
 
 
 OUT = "key string, block long, id_text string, k1 long, k2 long, copy long, size long, source_size long, target double, base long, x double, open boolean"
@@ -136,7 +144,7 @@ def _node(seed: int, level: int, last: bool):
             if left < 0:
                 x[i] = round(x[i])
         if last and left >= 0:
-            x[left], left = float(x[left] >= 0.5), -1
+            x[left], left = float(rng.random() < x[left]), -1
         return pdf.assign(x=x, open=np.arange(len(pdf)) == left)
 
     return node
@@ -156,7 +164,7 @@ def plan(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
     one, two = identity(F.col("_id"), source, text)
     rows = rows.select("_id", _source_key(source).alias("key"), n_words(text).alias("size"), one.alias("k1"), two.alias("k2"))
-    rows = cut(rows.groupBy("_id", "key", "size", "k1", "k2").agg(F.count("*").alias("n")).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("n"))
+    rows = spread(cut(rows.groupBy("_id", "key", "size", "k1", "k2").agg(F.count("*").alias("n"))), "n", "copy")
     sources = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
     facts = cut(targets(sources, weights, cap).withColumn("blocks", blocks))
@@ -188,19 +196,26 @@ def plan(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as plan() takes it.
+    """The mix itself: the rows of docs, whole, each as often as plan() takes it.
 
-    Identical rows share the copies that plan() gives them. Documents of size 0 are not part of a mix.
+    Rows of equal id, source and text share the copies that plan() gives them; null ids, sources and texts are values of
+    their own. Documents of size 0 are not part of a mix; an empty table gives an empty one. Other columns are kept.
     """
-    taken = plan(docs, id_col, text_col, source_col, **options)
-    taken = taken.groupBy(F.col("k1").alias("_mix1"), F.col("k2").alias("_mix2")).agg(F.sum("copies").alias("_mix_sum"), F.count("*").alias("_mix_rows")).where(F.col("_mix_sum") > 0)
+    taken, m = plan(docs, id_col, text_col, source_col, **options), free("_mix", docs.columns)
+    keys, total, copies = [f"{m}1", f"{m}2"], F.col(f"{m}_sum"), F.col(f"{m}_copies")
+    facts = taken.groupBy(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1])).agg(F.sum("copies").alias(f"{m}_sum"), F.count("*").alias(f"{m}_rows"))
+    facts = cut(facts.where(total > 0).withColumn(f"{m}_n", F.col(f"{m}_rows")))
+    n_rows = facts.agg(F.coalesce(F.sum(f"{m}_n"), F.lit(0))).first()[0]
     one, two = identity(F.col(id_col), F.col(source_col), F.col(text_col))
-    joined = docs.select("*", one.alias("_mix1"), two.alias("_mix2")).join(taken, ["_mix1", "_mix2"])
-    nth = F.expr("row_number() over (partition by _mix1, _mix2 order by _mix1)")  # the join's own order: no other sort
-    copies = F.floor(F.col("_mix_sum") / F.col("_mix_rows")) + (F.col("_mix_nth") <= F.col("_mix_sum") % F.col("_mix_rows")).cast("long")
-    counted = joined.withColumn("_mix_nth", nth).withColumn("_mix_copies", copies).where(F.col("_mix_copies") > 0)
-    return counted.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(docs.columns)
+    joined = attach(docs.select("*", one.alias(keys[0]), two.alias(keys[1])), facts, keys, f"{m}_n", n_rows).where(total.isNotNull())
+    joined, uneven = joined.withColumn(f"{m}_copies", F.floor(total / F.col(f"{m}_rows"))), total % F.col(f"{m}_rows") != 0
+    if not facts.where(uneven).isEmpty():  # identical rows that get unlike numbers of copies
+        odd = numbered(joined.where(uneven), keys, f"{m}_nth")
+        odd = odd.withColumn(f"{m}_copies", copies + (F.col(f"{m}_nth") <= total % F.col(f"{m}_rows")).cast("long")).drop(f"{m}_nth")
+        joined = joined.where(~uneven).unionByName(odd).where(copies > 0)
+    return joined.withColumn(f"{m}_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each of all documents."""
     return plan(table(spark, sf_dir, "documents")).drop("k1", "k2")
