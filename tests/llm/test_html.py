@@ -25,6 +25,70 @@ def test_cut_is_minimal():
         assert cost(H._max_flow(odds, edges)) == pytest.approx(best)
 
 
+def made_page(rng):
+    """A page of up to 11 blocks, many of them hard to tell."""
+    long = lambda: " ".join(rng.choice(["river", "stone", "light", "house", "winter"]) for _ in range(rng.randint(3, 40))) + rng.choice([".", ""])
+    link = lambda: f"<a href=/x>{rng.choice(['more', 'go to the next of these pages', 'top'])}</a>"
+    parts = []
+    for _ in range(rng.randint(1, 5)):
+        kind, name = rng.choice(["div", "section", "article", "aside", "ul"]), rng.choice(["", "", " class='related links'", " class='content'", " id='legal-notes'", " class='ad'"])
+        inner = [f"<{'li' if kind == 'ul' else 'p'}>{rng.choice([long, link, lambda: 'ok'])()}" for _ in range(rng.randint(1, 3))]
+        parts.append(f"<{kind}{name}>{''.join(inner)}</{kind}>")
+    return "<html><body>" + "".join(parts[:4]) + "</body></html>"
+
+
+def test_the_minimum_cut_decides_the_text(monkeypatch):
+    rng, calls, flow = random.Random(11), [0], H._max_flow
+    monkeypatch.setattr(H, "_max_flow", lambda *a: calls.__setitem__(0, calls[0] + 1) or flow(*a))
+    blocks = undecided = changed = 0
+    for _ in range(250):
+        page = made_page(rng)
+        found = H.blocks_of(page)
+        odds, edges = [b.odds for b in found], H.graph_of(found)
+
+        def cost(keep, odds=odds, edges=edges):
+            wrong = sum(abs(o) for o, k in zip(odds, keep) if (o > 0) != bool(k))
+            return wrong + sum(w for i, e in enumerate(edges) for j, w in e.items() if i < j and keep[i] != keep[j])
+
+        best = min(itertools.product((0, 1), repeat=len(odds)), key=cost)
+        text = [b.text for b, k in zip(found, best) if k]
+        assert cost(H.label(odds, edges)) == pytest.approx(cost(best))
+        if sum(cost(k) < cost(best) + 1e-6 for k in itertools.product((0, 1), repeat=len(odds))) == 1:
+            assert H.extract(page) == "\n\n".join(text)
+        blocks += len(odds)
+        undecided += sum(abs(o) <= sum(e.values()) for o, e in zip(odds, edges) if e)
+        changed += sum((o > 0) != bool(k) for o, k in zip(odds, best))
+    assert calls[0] > 50 and undecided > 0.1 * blocks and changed > 0.01 * blocks
+
+
+def test_neighbours_settle_what_a_block_alone_does_not():
+    text = "A sentence that is long enough to look like content does here."
+    page = f"<div><p>{text}</p><p><a href=x>the linked line</a></p><p>{text}</p></div>"
+    assert [b.odds > 0 for b in H.blocks_of(page)] == [True, False, True] and len(H.extract(page).split("\n\n")) == 3
+    page = "<div><p><a href=x>one</a></p><p><a href=x>two</a></p><p>So it is.</p><p><a href=x>three</a></p><p><a href=x>four</a></p></div>"
+    assert [b.odds > 0 for b in H.blocks_of(page)] == [False, False, True, False, False] and H.extract(page) == ""
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article class="post tags-news"><p>The news of today.</p><p>More of it.</p></article>', "The news of today.\n\nMore of it."),
+        ('<article><p data-id="ad-12">Some text here.</p></article>', "Some text here."),
+        ('<article><p>One.</p><div class="legal-history"><p>The history of law in short.</p></div></article>', "One.\n\nThe history of law in short."),
+        ("<article><p>Let <math><mi>x</mi><annotation>x tex</annotation></math> be.</p></article>", "Let x be."),
+        ('<body class="has-sidebar comments-open"><article><p>The text.</p></article></body>', "The text."),
+        ('<article class="post comments-open"><p>The text of the post.</p></article>', "The text of the post."),
+        ("<head><title>No</title><meta name=x><p>Head left open.</p>", "Head left open."),
+        ('<article><p>Text.</p><section id="comments"><p>I liked this article very much, thank you.</p></section></article>', "Text."),
+        ('<article><p>Text.</p><div class="ad">Buy this very nice thing today.</div><p>Text.</p></article>', "Text.\n\nText."),
+        ("<article><p>Text.</p><aside>You may like to read these things as well.</aside><form>Your name, please.</form></article>", "Text."),
+        ("<article><header><h1>Title</h1></header><p>Text.</p><footer>Filed under things of today.</footer></article>", "Title\n\nText."),
+    ],
+)
+def test_names_and_tags_are_hints_only(page, text):
+    assert H.extract(page) == text
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Site</a> <h2>The best site about a great many things.</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav>
 <div class="cookie-banner">We use cookies to make this site better for you and for everyone.</div>

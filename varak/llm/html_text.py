@@ -1,9 +1,11 @@
 """HTML extraction by minimum-cut labelling.
 
 A page becomes a list of text blocks. A linear classifier over tags, class names and the text gives each block the
-log-odds of being content: positive odds are its capacity from the source, negative odds its capacity to the sink.
-Blocks next to each other, and neighbours under one DOM parent, are joined by smoothness edges. The minimum cut,
-found by max-flow after blocks with settled labels are folded into their neighbours, separates content from boilerplate.
+log-odds of being content: positive odds are its capacity from the source, negative odds its capacity to the sink. No
+tag or name outweighs the rest: what a container says is worth at most 3, a text says up to 2 and neighbours say as much.
+Neighbours under one DOM parent are joined by strong smoothness edges, other blocks next to each other by weak ones. The
+minimum cut separates content from boilerplate: blocks that outweigh all their edges are folded into the terminals, and
+max-flow labels the others.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from .common import table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"""|<(?P<empty>svg|math)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"""|<(?P<empty>svg)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?<=/)>"""
+    r"|<(?P<raw>script|style|noscript|template|svg|annotation|iframe|object|textarea|select|title)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)"
     r"|<[a-zA-Z][^<>]*+\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role|style|aria-hidden|hidden)(?![\w:.-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -42,21 +44,24 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}}
 CELLS = frozenset(("td", "th"))
 
-#: Log-odds of content that a tag gives to all it contains.
+#: Log-odds of content that a tag or role gives to all it contains.
 TAG_ODDS = {
-    "article": 4.0, "main": 3.0, "nav": -14.0, "footer": -14.0, "aside": -14.0, "form": -14.0, "menu": -14.0, "header": -8.0, "button": -14.0,
-    "dialog": -14.0, "fieldset": -14.0, "search": -14.0, "head": -20.0, "address": -2.0, "label": -14.0,
+    "article": 3.0, "main": 2.5, "nav": -3.0, "footer": -3.0, "aside": -3.0, "form": -3.0, "menu": -3.0, "header": -3.0, "button": -3.0,
+    "dialog": -3.0, "fieldset": -3.0, "search": -3.0, "address": -1.0, "label": -2.0,
 }
-ROLE_ODDS = {r: -14.0 for r in "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split()} | {"main": 3.0, "article": 4.0}
-_BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus breadcrumb "
-    "breadcrumbs sidebar sidebars footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist disqus replies respond share sharing social related recommended recommendations widget widgets pagination pager skip copyright disclaimer legal alert tags".split()
+ROLE_ODDS = {r: -3.0 for r in "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split()} | {"main": 2.5, "article": 3.0}
+#: Log-odds that words of a class or id give: signs of boilerplate, strong and weak, and of content.
+STRONG, WEAK, GOOD = -3.0, -1.0, 1.5
+_STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars "
+    "footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification popup modal newsletter subscribe subscription signup login paywall comment comments commentlist "
+    "disqus pagination".split()
 )
-_BAD_STARTS = ("advert", "comment", "cookie", "sidebar", "sponsor", "newsletter", "breadcrumb", "navbar", "disqus")
+_WEAK_WORDS = frozenset("promo promos promotion promoted replies respond share sharing social related recommended recommendations widget widgets pager skip copyright disclaimer legal alert tags".split())
+_STRONG_STARTS = ("advert", "comment", "cookie", "sidebar", "sponsor", "newsletter", "breadcrumb", "navbar", "disqus")
 _GOOD_WORDS = frozenset("article articlebody post entry story content main maincontent bodytext prose".split())
-#: Smoothness: between blocks in page order, and between neighbours under one parent.
-NEXT_TO, SIBLINGS = 0.4, 1.2
+#: Smoothness: between blocks in page order under one parent and otherwise, and between neighbours under one parent.
+NEXT_TO, APART, SIBLINGS = 0.8, 0.4, 1.5
 
 
 @dataclass
@@ -67,55 +72,70 @@ class Block:
     tag: str
 
 
-def _attr_odds(attrs: str) -> float:
-    odds = 0.0
+def _attributes(attrs: str) -> tuple[float, bool]:
+    """(odds by role, class and id; is the element hidden)."""
+    odds, hidden = 0.0, False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), (values[0] or values[1] or values[2]).lower()
         if name == "role":
             odds += ROLE_ODDS.get(value.strip(), 0.0)
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            odds -= 14.0
         elif name in ("class", "id"):
             words = set(_WORD.findall(value))
-            if words & _BAD_WORDS or any(w.startswith(_BAD_STARTS) for w in words):
-                odds -= 12.0
-            elif words & _GOOD_WORDS:
-                odds += 2.0
-    return odds
+            good = bool(words & _GOOD_WORDS)
+            if words & _STRONG_WORDS or any(w.startswith(_STRONG_STARTS) for w in words):
+                odds += STRONG / 2 if good else STRONG
+            elif words & _WEAK_WORDS:
+                odds += WEAK / 2 if good else WEAK
+            elif good:
+                odds += GOOD
+        elif name == "style":
+            hidden = hidden or "display:none" in value.replace(" ", "")
+        else:
+            hidden = hidden or name == "hidden" or value == "true"
+    return max(-3.0, min(1.5 if odds < 2.5 else 3.0, odds)), hidden
+
+
+def _inside(outer: float, own: float) -> float:
+    """Odds of what an element contains: its own come first, boilerplate around it counts on, content hardly."""
+    return (own + (outer if outer < 0 else 0.1 * outer)) if own else outer
 
 
 def _own_odds(text: str, linked: int, tag: str) -> float:
-    """What the block's own text says: links speak against content, sentences and length for it."""
+    """What the block's own text says, -2.5 to 2: links speak against content, sentences and length for it."""
     share = linked / len(text)
-    odds = 1.2 - 4.0 * share * (share > 0.3)
-    odds += min(len(text), 300) / 150 * (1 - share)
+    odds = min(len(text), 200) / 200 * (1 - share) - 2.0 * share * (share > 0.3)
     if tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "p"):
-        odds += 0.7
-    if len(text) < 25 and tag not in ("h1", "h2", "h3", "p", "tr"):
-        odds -= 1.0
+        odds += 0.5
+    if len(text) < 25 and tag not in ("", "body", "h1", "h2", "h3", "p", "tr"):
+        odds -= 0.5
     if text[-1:] in ".!?:;\"'”…":
-        odds += 0.7
+        odds += 0.5
     return odds
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order; character references are decoded and white space is single."""
+    """The page's text blocks in order, without what isn't shown; character references are decoded and white space is single."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, odds of all it contains, number
+    stack: list[tuple[str, float, int, bool]] = [("", 0.0, 0, False)]  # tag, odds of all it contains, number, hidden
     buffer: list[str] = []
     numbers = linked = anchors = at = 0
 
     def flush() -> None:
         nonlocal linked
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            text = "" if stack[-1][3] else " ".join(html.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                tag, odds, number = stack[-1]
+                tag, odds, number, _ = stack[-1]
                 parent = stack[-2][2] if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dd", "dt", "pre") and len(stack) > 1 else number
                 out.append(Block(text, odds + _own_odds(text, min(linked, len(text)), tag), parent, tag))
         linked = 0
 
+    def enter(name: str, own: float, hidden: bool) -> None:
+        nonlocal numbers
+        numbers += 1
+        stack.append((name, _inside(stack[-1][1], own), numbers, hidden or stack[-1][3]))
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
@@ -141,6 +161,8 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
+                    if not block:
+                        flush()
                     del stack[k:]
                     break
                 if not block and stack[k][0] in BLOCK_TAGS:
@@ -156,15 +178,18 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in VOID_TAGS and name != "hr":
             continue
-        odds = _attr_odds(attrs) if attrs else 0.0
+        odds, hidden = _attributes(attrs) if attrs else (0.0, False)
         if name not in BLOCK_TAGS:
-            if odds < 0 or name == "label":
+            if (odds <= STRONG or hidden or name == "label") and not attrs.endswith("/"):
                 flush()
-                numbers += 1
-                stack.append((name, stack[-1][1] + odds + TAG_ODDS.get(name, 0.0), numbers))
+                enter(name, odds + TAG_ODDS.get(name, 0.0), hidden)
             continue
         flush()
         anchors = 0
+        if name == "head":
+            hidden = True
+        elif len(stack) > 1 and any(s[0] == "head" for s in stack[:4]):  # nothing else belongs there: it was left open
+            del stack[next(k for k, s in enumerate(stack) if s[0] == "head") :]
         while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(name, ())):
             stack.pop()
         if name == "hr":
@@ -172,8 +197,7 @@ def blocks_of(page: str) -> list[Block]:
         given = TAG_ODDS.get(name, 0.0)
         if name == "header" and any(s[0] in ("article", "main") for s in stack):
             given = 0.0
-        numbers += 1
-        stack.append((name, stack[-1][1] + odds + given, numbers))
+        enter(name, 0.0 if name in ("html", "body") else odds + given, hidden)  # classes there describe the whole page
     if at < len(page):
         buffer.append(page[at:])
     flush()
@@ -222,47 +246,39 @@ def _max_flow(odds: list[float], edges: list[dict[int, float]]) -> list[bool]:
 
 
 def label(odds: list[float], edges: list[dict[int, float]]) -> list[bool]:
-    """Minimum-cut labels. A block whose odds outweigh its edges keeps its side in every minimum cut, so it is settled
-    at once and its edges become odds of its neighbours; max-flow decides the rest."""
-    odds, weight = list(odds), [sum(e.values()) for e in edges]
-    edges = [dict(e) for e in edges]
-    settled: list[bool | None] = [None] * len(odds)
-    queue = deque(range(len(odds)))
-    while queue:
-        i = queue.popleft()
-        if settled[i] is None and abs(odds[i]) >= weight[i]:
-            settled[i] = odds[i] > 0
-            for j, w in edges[i].items():
-                if settled[j] is None:
-                    odds[j] += w if settled[i] else -w
-                    weight[j] -= w
-                    del edges[j][i]
-                    queue.append(j)
-    rest = [i for i, s in enumerate(settled) if s is None]
+    """Minimum-cut labels. A block whose odds outweigh all its edges keeps its side in every minimum cut: it is folded into
+    that terminal, so that its edges become odds of its neighbours. Max-flow labels the rest."""
+    side = [o > 0 if abs(o) > sum(e.values()) or not e else None for o, e in zip(odds, edges)]
+    rest = [i for i, s in enumerate(side) if s is None]
     if rest:
         index = {i: k for k, i in enumerate(rest)}
-        for i, side in zip(rest, _max_flow([odds[i] for i in rest], [{index[j]: w for j, w in edges[i].items() if j in index} for i in rest])):
-            settled[i] = side
-    return [bool(s) for s in settled]
+        own = [odds[i] + sum(w if side[j] else -w for j, w in edges[i].items() if side[j] is not None) for i in rest]
+        for i, found in zip(rest, _max_flow(own, [{index[j]: w for j, w in edges[i].items() if j in index} for i in rest])):
+            side[i] = found
+    return [bool(s) for s in side]
 
 
-def extract(page: str | None) -> str:
-    """The page's main text: content blocks in page order, joined by blank lines; empty if there are none."""
-    blocks = blocks_of(page or "")
+def graph_of(blocks: list[Block]) -> list[dict[int, float]]:
+    """Smoothness edges of each block: to the next one in the page, and to the next one under the same parent."""
     edges: list[dict[int, float]] = [{} for _ in blocks]
     last: dict[int, int] = {}
 
     def join(i: int, j: int, w: float) -> None:
-        edges[i][j] = edges[i].get(j, 0.0) + w
-        edges[j][i] = edges[j].get(i, 0.0) + w
+        edges[i][j] = edges[j][i] = edges[i].get(j, 0.0) + w
 
     for i, b in enumerate(blocks):
         if i:
-            join(i - 1, i, NEXT_TO)
+            join(i - 1, i, NEXT_TO if blocks[i - 1].parent == b.parent else APART)
         if b.parent in last:
             join(last[b.parent], i, SIBLINGS)
         last[b.parent] = i
-    keep = label([b.odds for b in blocks], edges)
+    return edges
+
+
+def extract(page: str | None) -> str:
+    """The page's main text: content blocks in page order, joined by blank lines; empty if there are none."""
+    blocks = blocks_of(page or "")
+    keep = label([b.odds for b in blocks], graph_of(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 
@@ -284,4 +300,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
     return main_text(table(spark, sf_dir, "pages"))
