@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free, table
 
 BUCKET_BITS = 12
-#: The classifiers are fitted on about this many documents of each language, chosen by a hash of the id, and fewer of each
-#: (but one at least) where there are more than FIT_FULL languages: the bound on what the driver sees. All are learned.
-FIT_ROWS, FIT_FULL = 400, 64
+#: The classifiers are fitted on about FIT_ROWS different texts of each language, drawn by a hash of the text, and on fewer of
+#: each (but one at least) where that would be over FIT_BUDGET: the bound on what the driver sees. All languages are learned.
+FIT_ROWS, FIT_BUDGET = 400, 8192
 #: Losses are per bit; a lead below this flags a text as ambiguous.
-MARGIN = 0.02
+MARGIN = 0.5
 CHUNK = 1 << 22
 
 
@@ -102,14 +102,14 @@ def train(x: np.ndarray, y: np.ndarray, langs: tuple[str, ...], margin: float =
     share /= share.sum()
     w, b = np.zeros((x.shape[1], book.shape[1])), np.zeros(book.shape[1])
     m, v = np.zeros((x.shape[1] + 1, book.shape[1])), np.zeros((x.shape[1] + 1, book.shape[1]))
-    x = x.astype(np.float64)
+    x = x.astype(np.float32, copy=False)
     for t in range(1, rounds + 1):
-        g = -goal / (1 + np.exp(np.clip(goal * (x @ w + b), -50, 50))) * share[:, None]
-        grad = np.vstack([x.T @ g + l2 * w, g.sum(axis=0)])
+        g = -goal / (1 + np.exp(np.clip(goal * (x @ w.astype(np.float32) + b), -50, 50))) * share[:, None]
+        grad = np.vstack([x.T @ g.astype(np.float32) + l2 * w, g.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    right = ((x @ w + b) * goal > 0).astype(float)
+    right = ((x @ w.astype(np.float32) + b) * goal > 0).astype(float)
     serves = np.array([right[y == k].mean(axis=0) for k in range(len(langs))]) if len(langs) else np.ones_like(book)
     serves = np.maximum(serves, 0.05)
     return Model(langs, book, serves / serves.sum(axis=1, keepdims=True), w.astype(np.float32), b.astype(np.float32), margin)
@@ -120,25 +120,27 @@ def held_out(id_col: str) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, margin: float = MARGIN) -> Model | None:
-    """Fit on about fit_rows documents of each language (fewer if there are over FIT_FULL), from rows with a lang and an id that is not held out."""
+    """Fit on about fit_rows different texts of each language (fewer if that would be over FIT_BUDGET), from rows with a lang and
+    an id that is not held out. Rows are drawn by their text, so it doesn't matter how often ids or texts repeat."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.where("lang is not null and id is not null and text is not null").where(~held_out("id"))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.min(draw).alias("least")).collect()
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.03).alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return None
-    each = fit_rows * min(1.0, FIT_FULL / len(counts))
-    limits = [(r["lang"], max(int(min(1.0, each / r["count"]) * (1 << 30)), r["least"] + 1)) for r in counts]
+    each = min(fit_rows, FIT_BUDGET / len(counts))
+    limits = [(r["lang"], max(int(min(1.0, each / r["n"]) * (1 << 30)), r["least"] + 1) if r["n"] > 0.9 * each else 1 << 30) for r in counts]
     limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), 256):
                 part = pdf.iloc[a : a + 256]
-                yield pd.DataFrame({"id": part["id"].astype(str), "lang": part["lang"], "x": [r.tobytes() for r in trigram_counts(part["text"].tolist()).astype(np.float16)]})
+                yield pd.DataFrame({"lang": part["lang"], "x": [r.tobytes() for r in trigram_counts(part["text"].tolist()).astype(np.float16)]})
 
-    drawn = known.join(limits, "lang").where(draw < F.col("below")).select("id", "text", "lang")
-    found = drawn.mapInPandas(features, "id string, lang string, x binary").toPandas().sort_values(["lang", "id", "x"])
+    drawn = known.join(limits, "lang").where(draw < F.col("below")).select("text", "lang")
+    drawn = drawn.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
+    found = drawn.mapInPandas(features, "lang string, x binary").toPandas().sort_values(["lang", "x"])
     langs = tuple(sorted(found["lang"].unique()))
     if not langs:
         return None
@@ -149,7 +151,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Add lang_pred (``und`` for null texts and those without a letter), score and ambiguous to docs.
 
-    Without a model (nothing to learn from) every text is ``und``. Whole texts are read, in bounded pieces.
+    Without a model (nothing to learn from) every text is ``und``. Whole texts are read, in bounded pieces. Columns of docs
+    with the names of the results are replaced; all others stay.
     """
     blank = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
     if model is None:
@@ -166,8 +169,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", prefix
         letters = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
         seen = F.when(letters, decode(F.col(text_col))).otherwise(blank)
     names = ("lang_pred", "score", "ambiguous")
-    kept = [c for c in docs.columns if c not in [prefix + n for n in names]]
-    return docs.withColumn("_langid", seen).select(*kept, *[F.col(f"_langid.{n}").alias(prefix + n) for n in names])
+    kept, own = [c for c in docs.columns if c not in [prefix + n for n in names]], free("_langid", docs.columns)
+    return docs.withColumn(own, seen).select(*kept, *[F.col(f"{own}.{n}").alias(prefix + n) for n in names])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -178,4 +181,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
     return identify(table(spark, sf_dir, "documents"))
