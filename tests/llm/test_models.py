@@ -65,12 +65,23 @@ def test_all_of_many_languages_are_learned(docs, monkeypatch):
         words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)]
         rows += [(len(rows) + i, " ".join(rng.choices(words, k=20)), f"l{k:02}", "s") for i in range(8 if k < 79 else 60)]
     df = docs(rows)
-    for full in (64, 0.75, 0.1):  # all rows, about 4 of each, and the least hash of some
-        monkeypatch.setattr(I, "FIT_FULL", full)
+    for budget in (8192, 320, 20):  # all rows, about 4 of each, and the least hash of some
+        monkeypatch.setattr(I, "FIT_BUDGET", budget)
         model = I.fit(df)
         assert len(model.langs) == 80
         right = [model.langs[k] == r[2] for k, r in zip(model.predict([r[1] for r in rows])[0], rows)]
-        assert np.mean(right) > (0.95 if full > 0.1 else 0.5)
+        assert np.mean(right) > (0.95 if budget > 20 else 0.5)
+
+
+def test_repeated_ids_and_texts_are_drawn_by_text(docs, monkeypatch):
+    rng, sizes, train = random.Random(12), [], I.train
+    monkeypatch.setattr(I, "train", lambda x, y, *a, **k: sizes.append(np.bincount(y).tolist()) or train(x, y, *a, **k))
+    text = lambda lang: " ".join(rng.choices(WORDS[lang], k=20))
+    rows = [(0, text("en"), "en", "s") for _ in range(3000)] + [(i, text("de"), "de", "s") for i in range(300)]  # one id
+    rows += [(1000 + i, "un seul texte pour tous", "fr", "s") for i in range(800)]  # one text
+    model = I.fit(docs(rows))
+    assert model.langs == ("de", "en", "fr") and 300 < sizes[0][1] < 500 and sizes[0][2] == 1
+    assert [model.langs[k] for k in model.predict([text("en"), text("de"), "un seul texte pour tous"])[0]] == ["en", "de", "fr"]
 
 
 def test_many_codewords_and_losses():
@@ -128,6 +139,50 @@ def test_toxicity_finds_documents_and_sentences(spark, docs):
     assert found and all(any(b in r.sentence for b in ("vilewort", "grimlout", "foulbert")) for r in found)
 
 
+def test_noisy_or_gradient_and_score():
+    rng = np.random.default_rng(3)
+    bags = [(int(rng.integers(2)), [sorted(set(rng.integers(0, 6, rng.integers(1, 4)).tolist())) for _ in range(rng.integers(0, 4))]) for _ in range(30)]
+    fitted, z = X.NoisyOr(bags, 6), np.concatenate([rng.normal(size=6), [-1.0, -2.0]])
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    direct = 0.0
+    for y, parts in bags:
+        safe = 1 - sig(z[7])
+        for s in parts:
+            safe *= 1 - sig(z[6] + sum(z[f] for f in s))
+        direct -= np.log(1 - safe if y else safe) / len(bags)
+    value, grad = fitted.loss(z)
+    assert value == pytest.approx(direct + 5e-5 * (z[:6] ** 2).sum() + 5e-3 * (z[6] + 4) ** 2)
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        assert grad[k] == pytest.approx((fitted.loss(z + step)[0] - fitted.loss(z - step)[0]) / 2e-5, abs=1e-6)
+    model = X.Model({b"bad": 2.0, b"baddes*": 1.5, b"worse": 3.0}, -2.5, 0.01)
+    text = "All is fine. bad BAD, worse! É baddest\n\n nothing. worse? 😀"
+    safe = 0.99 * (1 - sig(2.0 + 3.0 - 2.5)) * (1 - sig(1.5 - 2.5)) * (1 - sig(3.0 - 2.5))
+    for _ in range(2):  # also with words already seen
+        seen, marked = set(), {}
+        score, found, n = model.score(text, seen, marked)
+        assert score == pytest.approx(1 - safe) and len(found) == 3 and n == 6
+        assert text.encode()[found[1][0] : found[1][1]].decode() == " É baddest"
+
+
+def test_repeated_ids_give_one_text(spark, docs, monkeypatch):
+    rows, labels = toxic_corpus(200)
+    rows += [(3, f"hot vilewort number {k}.", "en", "s") for k in range(500)]
+    sizes, made = [], X.NoisyOr.__init__
+    monkeypatch.setattr(X.NoisyOr, "__init__", lambda self, bags, n: sizes.append(len(bags)) or made(self, bags, n))
+    X.fit(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sizes == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in labels)]
+
+
+@needs_data
+def test_toxicity_of_held_out_documents(spark):
+    folder = SMALL.replace("0.001", "0.1")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [r for r in X.query(spark, folder).where("held_out").select("doc_id", "predicted").collect() if r.doc_id in truth]
+    caught, toxic = sum(r.predicted and truth[r.doc_id] for r in got), sum(truth[r.doc_id] for r in got)
+    assert caught >= 0.88 * toxic and sum(r.predicted and not truth[r.doc_id] for r in got) <= 0.01 * len(got)
+
+
 def test_rare_toxicity_is_learned(spark, docs):
     rng, rows, labels = random.Random(9), [], []
     for i in range(6000):
