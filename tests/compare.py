@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(folder):
@@ -14,7 +15,7 @@ def connect(folder):
 
 def rows(frame):
     names = sorted(frame.columns)
-    return names, sorted(([None if v is None or v != v else v for v in r] for r in frame[names].astype(object).values.tolist()), key=repr)
+    return names, sorted(([None if v is None or v is pd.NA or v != v else v for v in r] for r in frame[names].astype(object).values.tolist()), key=repr)
 
 
 def same(spark_frame, sql, folder):

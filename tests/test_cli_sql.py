@@ -26,6 +26,8 @@ def test_commands(spark, tmp_path):
     assert go("pairs").count() == 0
     assert go("stats").first().words == 3
     assert sorted((r.subcategory, r.n_markers) for r in go("analysis", "--type", "formality").collect()) == [("formal_markers", 1), ("informal_markers", 1)]
+    with pytest.raises(ValueError, match="syntax"):
+        go("analysis", "--type", "syntax")
     assert go("extract", "--converter", "tests.test_cli_sql:fake", "--workers", "2").first().text == "%PDF-x"
 
 

@@ -71,7 +71,34 @@ def test_repair_calls_the_corrector_for_flagged_sentences_only(spark):
 
     got = {r.sentence: (r.corrected, r.cleanliness, r.was_corrected) for r in S.repair(df, corrector).collect()}
     assert got == {"iyi": ("iyi", 1.0, False), "1037 sene": ("1038 sene", 8 / 9, True), "bad 1234": ("bad 1234", 0.0, False)}
-    assert S.corrected_text(S.repair(df)).first()["text"] == "iyi 1037 sene bad 1234 \n"
+
+
+def test_texts_are_rebuilt_in_their_own_rows(spark):
+    rows = [(1, "First row 1037. And two."), (1, "Second row x. And y.\n\nKötü  3.14! Son"), (None, ""), (2, None), (3, "\x1c. a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in S.correct_texts(df).collect()]
+    assert got[0] == (1, "First row 1037. And two. \n") and got[2:] == [(None, " \n"), (2, None), (3, ". a \n")]
+    assert got[1] == (1, "Second row x. And y. \n \nKötü  3.14! Son \n") or got[1] == (1, "Second row x. And y. \n \nKötü 3. 14! Son \n")
+    assert "Exchange" not in S.correct_texts(df)._jdf.queryExecution().executedPlan().toString()
+
+    def corrector(batch):
+        return [None if "3.14" in t else t.replace("1037", "1038") for t in batch]
+
+    fixed = [(r.doc_id, r.text) for r in S.correct_texts(df, corrector).collect()]
+    assert fixed[0] == (1, "First row 1038. And two. \n") and fixed[1] == (1, "Second row x. And y. \n \nKötü  3.14! Son \n") and fixed[2:] == got[2:]
+
+
+def test_a_corrector_of_the_wrong_length_is_asked_one_by_one(spark):
+    df = spark.createDataFrame([(1, 0, 0, "1037 bir"), (1, 0, 1, "1038 iki")], "doc_id long, line_idx long, sent_idx long, sentence string")
+    got = S.repair(df, lambda batch: [batch[0].upper()]).collect()
+    assert sorted(r.corrected for r in got) == ["1037 BIR", "1038 IKI"]
+
+
+def test_report_text(spark):
+    df = spark.createDataFrame([(1, 0, 0, "3.14 a."), (1, 0, 1, "iyi")], "doc_id long, line_idx long, sent_idx long, sentence string")
+    text = A.report_text(A.repair_report(S.repair(df))).first()["value"].split("\n")
+    assert text[2:5] == ["Tokens: 2 before, 3 after, -1 fewer", "Characters: 7 before, 8 after, -1 fewer", "Sentences: 2 before, 2 after, 0 fewer"]
+    assert A.report_text(A.repair_report(S.repair(df.limit(0)))).first()["value"].endswith("Cleanliness: - on average, - to -")
 
 
 def test_report_over_nothing_has_null_averages(spark):

@@ -16,10 +16,8 @@ def test_query_equals_its_sql(spark, name):
     same(core_queries.queries()[name](spark, SMALL), core_queries.oracle_sql()[name], SMALL)
 
 
-@needs_data
-@pytest.mark.parametrize("name", sorted(set(core_queries.queries()) - set(core_queries.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    assert core_queries.queries()[name](spark, SMALL).count() > 0
+def test_all_have_sql():
+    assert set(core_queries.queries()) == set(core_queries.oracle_sql())
 
 
 @needs_data

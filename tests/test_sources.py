@@ -79,3 +79,16 @@ def test_streams_equal_batches(spark, tmp_path):
     _pdfs(tmp_path / "pdf")
     streams.drain(streams.stream_pdfs(spark, str(tmp_path / "pdf"), _convert), str(tmp_path / "md"), str(tmp_path / "cp3"))
     assert sorted(r.text or "" for r in spark.read.parquet(str(tmp_path / "md")).collect()) == ["", "", "%PDF-1.4 text at 300"]
+
+
+def test_default_converter(monkeypatch):
+    import sys
+    from contextlib import nullcontext
+    from types import SimpleNamespace
+
+    monkeypatch.setitem(sys.modules, "pymupdf", None)
+    with pytest.raises(RuntimeError, match="converter"):
+        X.library_converter(b"%PDF-", X.ExtractionOptions())
+    monkeypatch.setitem(sys.modules, "pymupdf", SimpleNamespace(open=lambda stream, filetype: nullcontext((filetype, stream))))
+    monkeypatch.setitem(sys.modules, "pymupdf4llm", SimpleNamespace(to_markdown=lambda pdf, **told: (pdf, told["dpi"])))
+    assert X.library_converter(b"%PDF-", X.ExtractionOptions(dpi=9)) == (("pdf", b"%PDF-"), 9)

@@ -17,6 +17,8 @@ from varak.sources import files
 
 log = logging.getLogger("varak")
 ANALYSES = ("formality", "semantics", "genre")
+#: Named elsewhere as analyses, but nowhere defined: refused with a reason.
+UNDEFINED = ("morphology", "syntax")
 
 
 class Parser(argparse.ArgumentParser):
@@ -46,13 +48,13 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("-c", "--config", type=Path, help="JSON settings")
     commands = top.add_subparsers(dest="command", required=True, parser_class=Parser)
     extract = commands.add_parser("extract", help="PDF files to text")
-    extract.add_argument("--converter", required=True, help="module:function that takes bytes and options and returns text")
+    extract.add_argument("--converter", help="module:function that takes bytes and options and returns text (default: pymupdf4llm)")
     extract.add_argument("--workers", type=int, help="partitions")
     mine = commands.add_parser("pairs", help="original and translation pairs of text files")
     mine.add_argument("--min-similarity", type=float, default=0.3)
     commands.add_parser("stats", help="statistics of a corpus of folders")
     analysis = commands.add_parser("analysis", help="markers in text files (an extension)")
-    analysis.add_argument("--type", choices=ANALYSES, default="formality")
+    analysis.add_argument("--type", choices=ANALYSES + UNDEFINED, default="formality")
     return top
 
 
@@ -65,7 +67,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     config, source, target = load_config(args.config), str(args.input), str(args.output)
     if args.command == "extract":
         paths = [str(p) for p in sorted(args.input.glob("*.pdf"))]
-        done = files.read_pdfs(spark, paths, _callable(args.converter), config.pdf_extraction, partitions=args.workers or config.workers)
+        done = files.read_pdfs(spark, paths, _callable(args.converter) if args.converter else files.library_converter, config.pdf_extraction, partitions=args.workers or config.workers)
         done.write.mode("overwrite").parquet(target)
     elif args.command == "pairs":
         found = pairs.mine_pairs(files.read_whole(spark, f"{source}/*.txt"), "path", "text", args.min_similarity)
@@ -76,6 +78,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         each = stats.text_stats(files.read_corpus(spark, source), "folder")
         each.write.mode("overwrite").parquet(f"{target}/folders")
         stats.totals(each).write.mode("overwrite").parquet(f"{target}/total")
+    elif args.type in UNDEFINED:
+        raise ValueError(f"the analysis {args.type} is only a name: nothing says what it should find")
     else:
         lists = lexicon.load_lexicon(spark, config.lexicon_dir) if config.lexicon_dir else lexicon.starter(spark)
         texts = files.read_whole(spark, f"{source}/*.txt")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from varak.functions.text import LETTERS, REPAIR_SIGNS, WS
+from varak.functions.text import LETTERS, NOT_WS, REPAIR_SIGNS, WORD, WS
 
 
 def _quoted(pattern: str) -> str:
@@ -22,8 +22,8 @@ def _functions() -> dict[str, tuple[str, str, str]]:
     marks = " OR ".join(f"t RLIKE {_quoted('(?U)' + p)}" for p in REPAIR_SIGNS.values())
     return {
         "strip_space": ("t STRING", "STRING", f"regexp_replace(t, {_quoted(f'(?U)^{WS}+|{WS}+$')}, '')"),
-        "word_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted('(?U)[^\\s\\x1c-\\x1f]+')}) AS BIGINT)"),
-        "sentence_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted('(?U)\\w[.!?](?:\\s|$)')}) AS BIGINT)"),
+        "word_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted(f'(?U){NOT_WS}+')}) AS BIGINT)"),
+        "sentence_count": ("t STRING", "BIGINT", f"CAST(regexp_count(t, {_quoted(f'(?U){WORD}[.!?](?:{WS}|\\z)')}) AS BIGINT)"),
         "clean_text": ("t STRING", "STRING", clean),
         "word_set": ("t STRING", "ARRAY<STRING>", f"array_distinct(filter(split({clean}, ' '), w -> w <> ''))"),
         "set_similarity": ("x ARRAY<STRING>, y ARRAY<STRING>", "DOUBLE", score),

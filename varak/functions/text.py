@@ -1,7 +1,7 @@
 """Text functions as pure Column expressions.
 
-White space and word characters follow Unicode: ``(?U)`` makes Java's classes do so, and the separators
-``\\x1c-\\x1f`` are added because string splitting in Python counts them as white space too.
+White space, digits and word characters are Python's: ``(?U)`` makes Java's classes follow Unicode, the separators
+``\\x1c-\\x1f`` count as white space too, and word characters are spelled out.
 """
 
 from __future__ import annotations
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = "[\\s\\x1c-\\x1f]"
+WS, NOT_WS = "[\\s\\x1c-\\x1f]", "[^\\s\\x1c-\\x1f]"
+#: Word characters as Python has them: letters and numbers of all kinds, no combining marks.
+WORD = "[\\p{L}\\p{N}_]"
 LETTERS = "a-zA-ZğĞıİöÖşŞüÜçÇ"
 
 
@@ -29,7 +31,7 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("(?U)[^\\s\\x1c-\\x1f]+")).cast("long")
+    return F.regexp_count(text, F.lit(f"(?U){NOT_WS}+")).cast("long")
 
 
 def char_count(text: Column) -> Column:
@@ -39,7 +41,7 @@ def char_count(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Words that end in exactly one mark, before white space or the end; runs of marks count as none."""
-    return F.regexp_count(text, F.lit("(?U)\\w[.!?](?:\\s|$)")).cast("long")
+    return F.regexp_count(text, F.lit(f"(?U){WORD}[.!?](?:{WS}|\\z)")).cast("long")
 
 
 def clean_text(text: Column) -> Column:
@@ -83,9 +85,14 @@ def is_valid_pair(original: Column, translation: Column, min_similarity: float =
 
 
 def post_process(corrected: Column) -> Column:
-    """Tidy a corrected sentence: drop foreign characters, one blank after each mark, single blanks."""
+    """Tidy a corrected sentence: drop foreign characters, one blank after each mark, single blanks.
+
+    Most sentences are tidy already, which one look tells.
+    """
+    untidy = corrected.rlike(f"(?U)[^{LETTERS} \\d.,;:!?()\\-]|[.,;:!?][^ ]|  |^ | \\z")
     kept = F.regexp_replace(corrected, f"(?U)[^{LETTERS}{WS[1:-1]}\\d.,;:!?()\\-]", "")
-    return strip(F.regexp_replace(F.regexp_replace(kept, "(?U)([.,;:!?])(?=[^\\s\\x1c-\\x1f])", "$1 "), f"(?U){WS}+", " "))
+    spaced = F.regexp_replace(kept, f"(?U)([.,;:!?])(?={NOT_WS})", "$1 ")
+    return F.when(untidy, strip(F.regexp_replace(spaced, f"(?U){WS}+", " "))).otherwise(corrected)
 
 
 def cleanliness(original: Column, corrected: Column) -> Column:
@@ -93,23 +100,28 @@ def cleanliness(original: Column, corrected: Column) -> Column:
     spelled = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
     equal = F.aggregate(F.zip_with(spelled(original), spelled(corrected), lambda x, y: x.eqNullSafe(y).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     longest = F.greatest(F.char_length(original), F.char_length(corrected))
-    return F.when(longest > 0, equal / longest)
+    return F.when((original == corrected) & (original != ""), F.lit(1.0)).when(longest > 0, equal / longest)
 
 
 #: Signs that a sentence needs repair, by name, each in the shortest form that is found exactly when the full one is.
 REPAIR_SIGNS = {
-    "bracketed_number": "\\d\\s*\\]\\s*,\\s*\\d",
-    "digit_inside_word": "\\w\\d\\w",
-    "very_long_word": "[a-zA-Z]{20}",
-    "repeated_chunk": "(\\w+)(?:\\1\\s*){3}",
-    "number_in_parentheses": "\\([^)]*\\d[^)]*\\)",
-    "hyphen_chain": "\\w\\s*-\\s*\\w+\\s*-\\s*\\w",
-    "short_words": "\\b(?:\\w{1,2}\\s+){3}",
-    "abbreviations": "\\b[A-Z][a-z]*\\.\\s+[A-Z][a-z]*\\.",
-    "sultan_number": "Sultan\\s+[IVX]+\\.\\s*\\n",
-    "blank_before_mark": "\\s[.,;:!?]",
-    "no_blank_after_mark": "[.,;:!?]\\S",
+    name: sign.replace("\\w", WORD).replace("\\s", WS).replace("\\S", NOT_WS)
+    for name, sign in {
+        "bracketed_number": "\\d\\s*\\]\\s*,\\s*\\d",
+        "digit_inside_word": "\\w\\d\\w",
+        "very_long_word": "[a-zA-Z]{20}",
+        "repeated_chunk": "(\\w+)(?:\\1\\s*){3}",
+        "number_in_parentheses": "\\([^)]*\\d[^)]*\\)",
+        "hyphen_chain": "\\w\\s*-\\s*\\w+\\s*-\\s*\\w",
+        "short_words": "(?:^|[^\\p{L}\\p{N}_])(?:\\w{1,2}\\s+){3}",
+        "abbreviations": "(?:^|[^\\p{L}\\p{N}_])[A-Z][a-z]*\\.\\s+[A-Z][a-z]*\\.",
+        "sultan_number": "Sultan\\s+[IVX]+\\.\\s*\\n",
+        "blank_before_mark": "\\s[.,;:!?]",
+        "no_blank_after_mark": "[.,;:!?]\\S",
+    }.items()
 }
+#: The cheap ones, of which one look at the sentence finds any; the others follow if it finds none.
+_CHEAP = ("no_blank_after_mark", "blank_before_mark", "digit_inside_word", "bracketed_number", "short_words", "number_in_parentheses", "very_long_word")
 
 
 def repair_sign(sentence: Column, name: str) -> Column:
@@ -118,15 +130,16 @@ def repair_sign(sentence: Column, name: str) -> Column:
 
 def needs_correction(sentence: Column) -> Column:
     """Any of the eleven signs."""
-    found = F.lit(False)
+    found = sentence.rlike("(?U)" + "|".join(REPAIR_SIGNS[name] for name in _CHEAP))
     for name in REPAIR_SIGNS:
-        found = found | repair_sign(sentence, name)
+        if name not in _CHEAP:
+            found = found | repair_sign(sentence, name)
     return found
 
 
 def line_sentences(line: Column) -> Column:
     """Sentences of a line, cut at white space after a mark; a blank line is one empty sentence."""
-    return F.split(strip(line), "(?U)(?<=[.!?])[\\s\\x1c-\\x1f]+")
+    return F.split(strip(line), f"(?U)(?<=[.!?]){WS}+")
 
 
 def report_sentences(text: Column) -> Column:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from pathlib import Path
+from urllib.request import url2pathname
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varak.functions.text import word_set
+from varak.sources.files import hadoop, list_folder, write_text
 
 SCHEMA = "source string, category string, subcategory string, marker string"
 KEY = ("category", "subcategory")
@@ -47,26 +50,31 @@ def starter(spark: SparkSession) -> DataFrame:
 
 
 def load_lexicon(spark: SparkSession, path: str | Path) -> DataFrame:
-    """A JSON file, or all JSON files of a folder. Missing or malformed files have no rows."""
-    place, rows = Path(path), []
-    for file in sorted(place.glob("*.json")) if place.is_dir() else [place]:
-        try:
-            rows += rows_of(json.loads(file.read_text(encoding="utf-8")), file.stem)
-        except (OSError, ValueError, TypeError, AttributeError):
-            continue
+    """A JSON file, or all JSON files of a folder, on any file system that Spark knows. Missing or malformed files have no rows."""
+    rows = []
+    fs, place = hadoop(spark, path)
+    if fs.exists(place):
+        found = [p for p, inside in list_folder(spark, path) if p.endswith(".json") and not inside] if fs.getFileStatus(place).isDirectory() else [str(path)]
+        for file in found:
+            try:
+                text = spark.read.text(file, wholetext=True).first()
+                rows += rows_of(json.loads(text["value"] if text else ""), url2pathname(file.rsplit("/", 1)[-1]).removesuffix(".json"))
+            except (ValueError, TypeError, AttributeError, PySparkException):
+                continue
     return spark.createDataFrame(rows, SCHEMA)
 
 
 def save_lexicon(lexicon: DataFrame, folder: str | Path) -> None:
-    """One JSON file a source, two levels deep, sorted; written beside and moved into place."""
-    data: dict = {}
+    """One JSON file a source, two levels deep, sorted; written beside and moved into place, on any file system."""
+    spark, data = lexicon.sparkSession, {}
     for r in sorted(lexicon.distinct().collect()):  # word lists are small by nature and owned by one process
         data.setdefault(r.source, {}).setdefault(r.category, {}).setdefault(r.subcategory, []).append(r.marker)
-    Path(folder).mkdir(parents=True, exist_ok=True)
     for source, lists in data.items():
-        fresh = Path(folder, f"{source}.json.new")
-        fresh.write_text(json.dumps(lists, indent=2), encoding="ascii")
-        fresh.replace(Path(folder, f"{source}.json"))
+        fs, fresh = hadoop(spark, f"{folder}/{source}.json.new")
+        write_text(json.dumps(lists, indent=2), f"{folder}/{source}.json.new", spark)
+        final = hadoop(spark, f"{folder}/{source}.json")[1]
+        fs.delete(final, False)
+        fs.rename(fresh, final)
 
 
 def get_markers(lexicon: DataFrame, category: str, subcategory: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varak.functions.text import REPAIR_SIGNS, cleanliness, line_sentences, needs_correction, post_process, repair_sign
+from varak.functions.text import REPAIR_SIGNS, cleanliness, let, line_sentences, needs_correction, post_process, repair_sign
 
 #: Takes a batch of sentences and returns as many corrected ones; None where one failed.
 Corrector = Callable[[list[str]], list[str | None]]
@@ -22,9 +23,28 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def flag_sentences(rows: DataFrame, sentence_col: str = "sentence") -> DataFrame:
-    """Add one boolean column for each repair sign, and needs_correction."""
-    signs = {name: repair_sign(F.col(sentence_col), name) for name in REPAIR_SIGNS}
-    return rows.withColumns({**signs, "needs_correction": needs_correction(F.col(sentence_col))})
+    """Add one boolean column for each repair sign, and needs_correction, which is any of them."""
+    rows = rows.withColumns({name: repair_sign(F.col(sentence_col), name) for name in REPAIR_SIGNS})
+    return rows.withColumn("needs_correction", reduce(lambda a, b: a | b, map(F.col, REPAIR_SIGNS)))
+
+
+def _caller(corrector: Corrector):
+    """The corrector as a function of a column of arrays: null items stay, failed ones become null."""
+
+    @F.pandas_udf("array<string>")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = [t for items in batch if items is not None for t in items if t is not None]
+            try:
+                found = list(corrector(texts)) if texts else []
+                if len(found) != len(texts):
+                    raise ValueError("a corrector returns as many texts as it gets")
+            except Exception:
+                found = [_alone(corrector, t) for t in texts]
+            done = iter(found)
+            yield pd.Series([None if items is None else [None if t is None else next(done) for t in items] for items in batch], dtype=object)
+
+    return call
 
 
 def repair(rows: DataFrame, corrector: Corrector | None = None, sentence_col: str = "sentence") -> DataFrame:
@@ -33,32 +53,17 @@ def repair(rows: DataFrame, corrector: Corrector | None = None, sentence_col: st
     Only flagged sentences reach the corrector (default: the identity, which stays in the JVM). A sentence that isn't
     flagged stays as it is, with cleanliness 1; one whose correction failed stays too, with cleanliness 0.
     """
-    sentence, flag = F.col(sentence_col), needs_correction(F.col(sentence_col))
-    if corrector is None:
-        raw = sentence
-    else:
-
-        @F.pandas_udf("string")
-        def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                due = batch.notna()
-                out = pd.Series([None] * len(batch), dtype=object)
-                if due.any():
-                    texts = batch[due].tolist()
-                    try:
-                        out[due.to_numpy()] = corrector(texts)
-                    except Exception:
-                        out[due.to_numpy()] = [_alone(corrector, t) for t in texts]
-                yield out
-
-        raw = call(F.when(flag, sentence))
-    flagged = rows.withColumn("_flag", flag).withColumn("_raw", raw).withColumn("_done", F.col("_flag") & F.col("_raw").isNotNull())
-    fixed = flagged.withColumn("_fixed", F.when(F.col("_done"), post_process(F.col("_raw"))))
+    sentence = F.col(sentence_col)
+    flagged = rows.withColumn("_flag", needs_correction(sentence))
+    raw = sentence if corrector is None else _caller(corrector)(F.array(F.when(F.col("_flag"), sentence)))[0]
+    flagged = flagged.withColumn("_raw", F.when(F.col("_flag"), raw))
+    fixed = flagged.withColumn("_fixed", F.when(F.col("_flag") & F.col("_raw").isNotNull(), post_process(F.col("_raw"))))
+    done = F.col("_fixed").isNotNull()
     return fixed.select(
         *rows.columns,
         F.coalesce("_fixed", sentence).alias("corrected"),
-        F.when(F.col("_done"), cleanliness(sentence, F.col("_fixed"))).when(F.col("_flag"), 0.0).otherwise(1.0).alias("cleanliness"),
-        F.coalesce("_done", F.lit(False)).alias("was_corrected"),
+        F.when(done, cleanliness(sentence, F.col("_fixed"))).when(F.col("_flag"), 0.0).otherwise(1.0).alias("cleanliness"),
+        done.alias("was_corrected"),
     )
 
 
@@ -69,8 +74,21 @@ def _alone(corrector: Corrector, text: str) -> str | None:
         return None
 
 
-def corrected_text(repaired: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Put corrected sentences together again: each followed by a blank, lines ended by a line break."""
-    line = repaired.groupBy(id_col, "line_idx").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "corrected"))).alias("s"))
-    line = line.select(id_col, "line_idx", F.concat(F.array_join(F.transform("s", lambda x: F.concat(x["corrected"], F.lit(" "))), ""), F.lit("\n")).alias("t"))
-    return line.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("line_idx", "t"))).alias("l")).select(id_col, F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
+def correct_texts(docs: DataFrame, corrector: Corrector | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text with its flagged sentences corrected, put together again: id, text.
+
+    A sentence is followed by a blank, a line by a line break. Every text is taken apart and rebuilt in its own row, so
+    nothing is shuffled and ids may repeat or be null. A null text stays null.
+    """
+
+    def with_ends(line: Column) -> Column:
+        return let(line_sentences(line), lambda own: F.transform(own, lambda s, i: F.struct(s.alias("s"), F.when(i == F.size(own) - 1, F.lit(" \n")).otherwise(F.lit(" ")).alias("end"))))
+
+    parts = docs.select(id_col, F.flatten(F.transform(F.split(F.col(text_col), "\n"), with_ends)).alias("_parts"))
+    if corrector is None:
+        fixed = F.transform("_parts", lambda x: F.concat(F.when(needs_correction(x["s"]), post_process(x["s"])).otherwise(x["s"]), x["end"]))
+        return parts.select(id_col, F.array_join(fixed, "").alias("text"))
+    parts = parts.withColumn("_due", F.transform("_parts", lambda x: F.when(needs_correction(x["s"]), x["s"])))
+    parts = parts.withColumn("_raw", _caller(corrector)(F.col("_due")))
+    fixed = F.zip_with("_parts", "_raw", lambda x, raw: F.concat(F.coalesce(post_process(raw), x["s"]), x["end"]))
+    return parts.select(id_col, F.array_join(fixed, "").alias("text"))

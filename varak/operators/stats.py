@@ -27,7 +27,8 @@ def token_count(text: Column, counter: TokenCounter | None) -> Column:
 
 
 def bpe_counter(rank_file: str, pattern: str) -> TokenCounter:
-    """Token counts by a byte-pair encoding whose rank file every executor can read; loaded once a worker."""
+    """Token counts by a byte-pair encoding whose rank file (lines of base64 token and rank) every executor can read; loaded
+    once a worker."""
     loaded = {}
 
     def count(texts: list[str]) -> list[int]:
@@ -77,6 +78,20 @@ def repair_report(repaired: DataFrame, sentence_col: str = "sentence") -> DataFr
     return sums.select(*counted, *differ, *average, "avg_cleanliness", "min_cleanliness", "max_cleanliness")
 
 
+def report_text(report: DataFrame) -> DataFrame:
+    """The numbers of repair_report() as text, one row: value. Averages have two places; those over nothing are a dash."""
+
+    def two(c: str) -> Column:
+        return F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("-"))
+
+    lines = [F.lit("Sentence repair"), F.lit("")]
+    for title, name in (("Tokens", "tokens"), ("Characters", "characters"), ("Sentences", "sentences")):
+        lines.append(F.format_string(f"{title}: %d before, %d after, %d fewer", F.col(f"original_{name}"), F.col(f"corrected_{name}"), F.col(f"difference_{name}")))
+    lines.append(F.concat(F.lit("Words a sentence: "), two("original_words_per_sentence"), F.lit(" before, "), two("corrected_words_per_sentence"), F.lit(" after")))
+    lines.append(F.concat(F.lit("Cleanliness: "), two("avg_cleanliness"), F.lit(" on average, "), two("min_cleanliness"), F.lit(" to "), two("max_cleanliness")))
+    return report.select(F.concat_ws("\n", *lines).alias("value"))
+
+
 def words_per_sentence(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Histogram: n_words of a report sentence, and how many sentences have so many."""
     return docs.select(F.explode(report_sentences(F.col(text_col))).alias("s")).groupBy(word_count(F.col("s")).alias("n_words")).agg(F.count("*").alias("n_sentences"))

@@ -27,6 +27,17 @@ class ExtractionOptions:
 Converter = Callable[[bytes, ExtractionOptions], str]
 
 
+def library_converter(content: bytes, options: ExtractionOptions) -> str:
+    """The converter used where none is given: the pymupdf4llm package, which executors must have."""
+    try:
+        import pymupdf
+        import pymupdf4llm
+    except ModuleNotFoundError as e:
+        raise RuntimeError("PDF files need a converter: install pymupdf4llm or pass your own") from e
+    with pymupdf.open(stream=content, filetype="pdf") as pdf:
+        return pymupdf4llm.to_markdown(pdf, dpi=options.dpi, margins=options.margins, table_strategy=options.table_strategy, fontsize_limit=options.fontsize_limit)
+
+
 def read_whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row a file: path, text, with line ends made \\n."""
     rows = spark.read.text(path, wholetext=True)
@@ -39,17 +50,28 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.element_at(F.split(F.url_decode(F.regexp_replace("path", "\\+", "%2B")), "/"), -2).alias("folder"), "text")
 
 
+def hadoop(spark: SparkSession, path: str | Path):
+    """(file system, path) of Hadoop for a place on any file system that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def list_folder(spark: SparkSession, path: str | Path) -> list[tuple[str, bool]]:
+    """(path, is it a folder) of what lies directly in a folder, sorted."""
+    fs, place = hadoop(spark, path)
+    return sorted((str(x.getPath().toString()), bool(x.isDirectory())) for x in fs.listStatus(place))
+
+
 def folders_without_corpus(spark: SparkSession, root: str) -> list[str]:
     """Immediate subfolders that lack the corpus file."""
-    return sorted(d.name for d in Path(root).iterdir() if d.is_dir() and not (d / CORPUS_FILE).exists())
+    inside = [p for p, is_folder in list_folder(spark, root) if is_folder]
+    return sorted(p.rsplit("/", 1)[1] for p in inside if not hadoop(spark, p)[0].exists(hadoop(spark, f"{p}/{CORPUS_FILE}")[1]))
 
 
 def validate_files(spark: SparkSession, paths: list[str]) -> None:
     """FileNotFoundError for a missing path, ValueError for one that isn't a regular file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
-        place = jvm.org.apache.hadoop.fs.Path(str(p))
-        fs = place.getFileSystem(conf)
+        fs, place = hadoop(spark, p)
         if not fs.exists(place):
             raise FileNotFoundError(p)
         if not fs.getFileStatus(place).isFile():
@@ -61,7 +83,7 @@ def is_pdf(content: Column) -> Column:
     return F.coalesce(F.substring(content, 1, 5) == F.lit(b"%PDF-"), F.lit(False))
 
 
-def extract_pdfs(files: DataFrame, converter: Converter, options: ExtractionOptions | None = None, on_error: str = "keep") -> DataFrame:
+def extract_pdfs(files: DataFrame, converter: Converter = library_converter, options: ExtractionOptions | None = None, on_error: str = "keep") -> DataFrame:
     """Convert binaryFile rows: path, text, error (struct of message, file_path, error_type, details; null if well).
 
     on_error: ``keep`` failures as rows without text, ``drop`` them, or ``fail`` at the first. Paths count once.
@@ -88,7 +110,7 @@ def extract_pdfs(files: DataFrame, converter: Converter, options: ExtractionOpti
     return done.where(F.col("text").isNotNull()) if on_error == "drop" else done
 
 
-def read_pdfs(spark: SparkSession, paths: list[str], converter: Converter, options: ExtractionOptions | None = None, on_error: str = "keep", partitions: int | None = None) -> DataFrame:
+def read_pdfs(spark: SparkSession, paths: list[str], converter: Converter = library_converter, options: ExtractionOptions | None = None, on_error: str = "keep", partitions: int | None = None) -> DataFrame:
     """Check all paths, then convert them in parallel. Spread a few large files over partitions."""
     validate_files(spark, paths)
     files = spark.read.format("binaryFile").load(paths)
@@ -100,10 +122,18 @@ def write_markdown(texts: DataFrame, folder: str) -> None:
     texts.where(F.col("text").isNotNull()).select(F.md5("path").alias("file"), "text").write.partitionBy("file").mode("overwrite").option("lineSep", "\n").text(folder)
 
 
-def write_text(text: str, path: str | Path) -> None:
-    """One text to one local file, with its folders."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+def write_text(text: str, path: str | Path, spark: SparkSession | None = None) -> None:
+    """One text to one file, with its folders: a local one, or with a session one on any file system that Spark knows."""
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    fs, place = hadoop(spark, path)
+    out = fs.create(place, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def pair_report(pairs: DataFrame) -> DataFrame:
