@@ -82,7 +82,7 @@ def report_text(report: DataFrame) -> DataFrame:
     """The numbers of repair_report() as text, one row: value. Averages have two places; those over nothing are a dash."""
 
     def two(c: str) -> Column:
-        return F.coalesce(F.format_string("%.2f", F.col(c)), F.lit("-"))
+        return F.when(F.col(c).isNotNull(), F.format_string("%.2f", F.col(c))).otherwise("-")
 
     lines = [F.lit("Sentence repair"), F.lit("")]
     for title, name in (("Tokens", "tokens"), ("Characters", "characters"), ("Sentences", "sentences")):
