@@ -4,7 +4,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tests.compare import same
+from varak.operators import pairs
 from varak.plans import core_queries
+from varak.sources import files
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -36,6 +38,16 @@ def test_registry():
 
 @needs_data
 def test_pairs_are_one_narrow_stage(spark):
-    plan = core_queries.queries()["poetic_pairs"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    found = pairs.mine_pairs(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@needs_data
+def test_small_tables_are_spread_and_others_left_alone(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert files.spread(docs).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert files.spread(docs.repartition(9)).rdd.getNumPartitions() == 9
+    plan = files.spread(docs).select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint>" in plan

@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,13 @@ class ExtractionOptions:
 Converter = Callable[[bytes, ExtractionOptions], str]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in one part a core, if they lie in fewer: a table of one file would keep one core busy. Tables in more parts,
+    such as large ones, stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def library_converter(content: bytes, options: ExtractionOptions) -> str:
     """The converter used where none is given: the pymupdf4llm package, which executors must have."""
     try:
