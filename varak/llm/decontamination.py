@@ -22,11 +22,11 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructF
 
 from .common import cut, table
 
-#: Items of fewer words are not searched.
-LEAST_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: A document is contaminated by an item if the best alignment reaches this share of a full copy's score, or this score.
 THRESHOLD, LONG_SCORE = 0.4, 24
+#: Of a short item, a share of THRESHOLD would be a common phrase: it must reach SHORT_SHARE of its score, or SHORT_SCORE.
+SHORT_SHARE, SHORT_SCORE = 0.8, 14
 #: Bytes of item text that one block may hold; more items mean more blocks, each laid against all documents.
 BLOCK_BYTES = 8 << 20
 #: Shared pairs of one document that are held at a time.
@@ -39,6 +39,12 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
 
 
+def least_scores(sizes: np.ndarray, threshold: float, long_score: int) -> np.ndarray:
+    """The score from which an alignment with an item of so many words is contamination."""
+    full = MATCH * np.asarray(sizes)
+    return np.minimum(np.maximum(threshold * full, np.minimum(SHORT_SHARE * full, SHORT_SCORE)), long_score)
+
+
 class Items:
     """A block of items: vocabulary, item words as numbers, and the items that own each pair of words."""
 
@@ -46,7 +52,7 @@ class Items:
         self.ids, self.vocab, self.words = [], {}, []
         for item_id, text in items:
             own = tokens(text)
-            if len(own) >= LEAST_WORDS:
+            if own:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in own], dtype=np.int64))
         self.sizes = np.array([len(own) for own in self.words], dtype=np.int64)
@@ -149,7 +155,7 @@ def matches(items: Items, text: str | None, threshold: float, long_score: int) -
     """(item id, score, first word, word after the last) of each item that contaminates the text."""
     numbers = items.numbers(text)
     out = []
-    least = np.minimum(threshold * MATCH * items.sizes, long_score)
+    least = least_scores(items.sizes, threshold, long_score)
     for k, parts in sorted(items.stretches(numbers, least).items()):
         item = items.words[k]
         n, best = len(item), (0, 0, 0)
@@ -204,8 +210,7 @@ def contaminated(
     """One row for each document and item that contaminates it: id, item_id, score (1: full copy), first_word, end_word.
 
     Words are lower-cased and cut at white space and ASCII punctuation; first_word and end_word count them from 0.
-    Null texts and null items match nothing; items of under LEAST_WORDS words are too short to prove a copy and are not
-    searched. Ids may be null or repeat: each row is judged by its own whole text. Empty tables give no rows.
+    Null texts, null items and items without a word match nothing; items of up to 3 words must be there whole. Ids may be null or repeat: each row is judged by its own whole text. Empty tables give no rows.
     """
     kind = benchmark.schema[item_id].dataType
     names = ("item_id", "score", "first_word", "end_word")
@@ -221,7 +226,7 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, long_score: int = LONG_SCORE) -> DataFrame:
-    """The rows of docs that no item contaminates."""
+    """The rows of docs, with all their columns, that no item contaminates. Null and empty texts are clean."""
     n, blocks = item_blocks(benchmark, item_id, item_text)
     kept = docs
     for items in blocks:
@@ -231,4 +236,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items in all documents."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
