@@ -91,6 +91,19 @@ def test_no_pair_is_lost(spark, radius):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_components_and_representatives_of_hubs(spark, docs, monkeypatch):
+    from varak.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    edges = [(0, i) for i in range(1, 4000)] + [(i, i + 10_000) for i in range(1, 4000)] + [(50_000, 50_001)]
+    got = dict(map(tuple, S.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()))
+    assert len(got) == 8001 - 2 + 2 and {got[i] for i in range(4000)} == {0} and got[13_999] == 0 and got[50_001] == 50_000
+    rows = [(None, "a text that many rows have in common")] * 300 + [(i, f"text {i} of its own {i * i} words") for i in range(20)] + [(4, "text 4 of its own 16 words")] * 80
+    df = docs(rows).repartition(5).withColumnRenamed("n_chars", "_sim1")
+    kept = S.representatives(df)
+    assert kept.columns == df.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted({c if c is not None else -1 for _, _, _, c in links(rows)})
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1000, 1002)]
     random.Random(1).shuffle(edges)
@@ -138,7 +151,7 @@ def align_without_seeds(rows, bench):
             block = D.Items([(i, item)])
             for own in block.words:
                 score = D.align(own, block.numbers(text))[0]
-                if score >= min(D.THRESHOLD * D.MATCH * len(own), D.LONG_SCORE):
+                if score >= D.least_scores(len(own), D.THRESHOLD, D.LONG_SCORE):
                     out.append((d, i, score / (D.MATCH * len(own))))
     return sorted(out)
 
@@ -175,6 +188,33 @@ def test_edited_copies_equal_alignment_without_seeds(spark, docs):
     assert sorted((r.doc_id, r.item_id, r.score) for r in got) == want
 
 
+def test_short_items_must_be_nearly_whole(spark, docs):
+    items = [(1, "what is the capital of france"), (2, "to be or not to be that is it"), (3, "quick brown fox"), (4, "zyzzyva")]
+    rows = [(1, "so what is the capital stock of that company"), (2, "tell me: What is the capital, of France?"), (3, "it is not to be that"), (4, "the quick red fox"), (5, "a quick brown fox ran"), (6, "Zyzzyva!"), (7, "what is the big capital of france")]
+    got = D.contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(2, 1), (5, 3), (6, 4), (7, 1)]
+
+
+@pytest.mark.parametrize("every, share", [(4, 0.95), (5, 1.0), (7, 1.0)])
+def test_recall_of_edited_copies(every, share):
+    rng, found = random.Random(every), 0
+    for n in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randint(15, 60))]
+        block = D.Items([(1, " ".join(words))])
+        copy = [w if i % every else "new" for i, w in enumerate(words)]
+        text = " ".join(rng.choices([f"w{i}" for i in range(500)], k=80) + copy + rng.choices([f"w{i}" for i in range(500)], k=80))
+        found += bool(D.matches(block, text, D.THRESHOLD, D.LONG_SCORE))
+    assert found >= share * 40
+
+
+@needs_data
+def test_decontamination_query_equals_alignment_without_seeds(spark):
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()][:12]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("length(text) < 4000").collect()]
+    got = {(r.doc_id, r.item_id, r.score) for r in D.query(spark, SMALL).collect()}
+    assert {g for g in got if g[0] in dict(rows) and g[1] in dict(bench)} == set(align_without_seeds(rows, bench)) and got
+
+
 @pytest.mark.parametrize("held", [1 << 22, 7])
 @pytest.mark.parametrize("threshold, long_score", [(D.THRESHOLD, D.LONG_SCORE), (0.2, 8), (1.0, 10**6), (0.1, 2)])
 def test_no_alignment_is_lost(monkeypatch, held, threshold, long_score):
@@ -186,7 +226,7 @@ def test_no_alignment_is_lost(monkeypatch, held, threshold, long_score):
         block = D.Items([(i, text(rng.randint(1, 30))) for i in range(6)])
         page = text(rng.randint(0, 80)) + " out of list"
         scores = {i: D.align(own, block.numbers(page))[0] for i, own in zip(block.ids, block.words)}
-        want = {i: s / (2 * len(own)) for (i, s), own in zip(scores.items(), block.words) if s and s >= min(threshold * 2 * len(own), long_score)}
+        want = {i: s / (2 * len(own)) for (i, s), own in zip(scores.items(), block.words) if s and s >= D.least_scores(len(own), threshold, long_score)}
         assert {m[0]: m[1] for m in D.matches(block, page, threshold, long_score)} == want
 
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varak.sources.files import spread as spread_input
+
 #: At most this many keys are broadcast as hot ones: those with over total / HOT_KEYS rows, and over HOT_ROWS.
 HOT_KEYS, HOT_ROWS = 1 << 17, 1000
 #: Rows that one task lists for one group of repeated rows at a time.
@@ -16,7 +18,7 @@ SPREAD = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

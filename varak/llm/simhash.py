@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import attach, cut, identity, table
+from .common import attach, cut, free, identity, table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Buckets with more distinct fingerprints than this are searched by enumerating near fingerprints, not by pairs.
@@ -108,19 +108,20 @@ def components(edges: DataFrame) -> DataFrame:
     Each turn hangs all neighbours above a node on its least neighbour (large star), then all below (small star), until
     nothing changes; turns grow with the logarithm of the size of a component.
     """
-    before = None
-    pairs = edges.select(F.col("a"), F.col("b"))
+    pairs = cut(edges.select(F.col("a"), F.col("b")))
+    before = (pairs.count(),)
     while True:
+        n = 2 * before[0]
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.join(low, large["b"] == low["u"]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m")))
+        large = cut(attach(both, least, ["a"], "n", n).where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct())
+        low = cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+        small = attach(large, low, ["b"], "n", n).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
         pairs = cut(small.select("e.a", "e.b").where("a < b").distinct())
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
@@ -130,7 +131,7 @@ def _linked(rows: DataFrame, radius: int) -> DataFrame:
     prints = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(row).alias("least")))
     pairs = cut(near_pairs(prints.select("fp"), radius))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(prints.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("near"))
+    near = both.join(prints.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("near"))  # a ball holds few b
     roots = components(pairs).select(F.col("node").alias("fp"), "root")
     known = prints.join(near, "fp", "left").join(roots, "fp", "left")
     return known.withColumn("near", F.coalesce("near", F.lit(0))).withColumn("root", F.coalesce("root", "fp"))
@@ -146,9 +147,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     one, two = identity(F.col(id_col), F.col(text_col))
     rows = cut(docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), fingerprints(F.col(text_col)).alias("fp")))
-    known = _linked(rows, radius)
-    ids = known.groupBy("root").agg(F.min("least")["id"].alias("component_id"))
-    facts = cut(known.join(ids, "root").select("fp", "n", (F.col("near") + F.col("n") - 1).alias("n_near"), "component_id"))
+    known = cut(_linked(rows, radius))
+    ids = cut(known.groupBy("root").agg(F.min("least")["id"].alias("component_id"), F.count("*").alias("_n")))
+    facts = cut(attach(known, ids, ["root"], "_n", ids.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]).select("fp", "n", (F.col("near") + F.col("n") - 1).alias("n_near"), "component_id"))
     total = facts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return attach(rows.drop("k1", "k2"), facts, ["fp"], "n", total).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id"
@@ -156,14 +157,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of docs, whole, for each component of near copies: the least id (null ids last), once if it repeats."""
+    """One row of docs, whole, for each component of near copies: the least id (null ids last), once if it repeats.
+
+    Null texts count as empty ones. An empty table gives an empty one; columns keep their names and values.
+    """
     one, two = identity(F.col(id_col), F.col(text_col))
     rows = cut(docs.select(F.col(id_col).alias("id"), one.alias("k1"), two.alias("k2"), fingerprints(F.col(text_col)).alias("fp")))
-    stay = _linked(rows, radius).groupBy("root").agg(F.min("least").alias("r")).select(F.col("r.k1").alias("_sim1"), F.col("r.k2").alias("_sim2"))
-    joined = docs.select("*", one.alias("_sim1"), two.alias("_sim2")).join(stay, ["_sim1", "_sim2"])
-    nth = F.expr("row_number() over (partition by _sim1, _sim2 order by _sim1)")  # the join's own order: no other sort
-    return joined.withColumn("_sim_nth", nth).where("_sim_nth = 1").select(docs.columns)
+    m = free("_sim", docs.columns)
+    keys, many, total = [f"{m}1", f"{m}2"], F.col(f"{m}_many"), rows.count()
+    stay = _linked(rows, radius).groupBy("root").agg(F.min("least").alias("r")).select("r.k1", "r.k2")
+    stay = rows.groupBy("k1", "k2").agg(F.count("*").alias(f"{m}_n")).join(stay, ["k1", "k2"])
+    stay = cut(stay.select(F.col("k1").alias(keys[0]), F.col("k2").alias(keys[1]), f"{m}_n", (F.col(f"{m}_n") > 1).alias(f"{m}_many")))
+    joined = attach(docs.select("*", one.alias(keys[0]), two.alias(keys[1])), stay, keys, f"{m}_n", total).where(many.isNotNull())
+    kept = joined.where(~many).select(docs.columns)
+    if not stay.where(many).isEmpty():  # rows that repeat whole: combined where they lie before they meet
+        first = joined.where(many).groupBy(*keys).agg(F.first(F.struct(*docs.columns)).alias(f"{m}_row")).select(f"{m}_row.*")
+        kept = kept.unionByName(first)
+    return kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near copies of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
