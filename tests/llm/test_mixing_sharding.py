@@ -185,6 +185,30 @@ def test_a_giant_group_of_copies_is_spread(docs):
     assert max(load.values()) < 1.1 * min(load.values())
 
 
+def test_a_giant_group_of_identical_rows_is_spread(docs):
+    rows = [(None, "copy of one text " * 5, "en", "a")] * 400 + [(i, f"text number {i} " * 5, "en", "a") for i in range(400)]
+    got = H.shard(docs(rows).repartition(3), shards=4).collect()
+    checked(rows, got, 4)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert len(load) == 4 and max(load.values()) < 1.1 * min(load.values())
+
+
+@needs_data
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_query_balances_bytes(spark, sf):
+    folder = SMALL.replace("0.001", sf)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    got = H.query(spark, folder).collect()
+    checked(rows, got, 24)
+    load, largest = Counter(), max(r.size for r in got)
+    for r in got:
+        load[r.shard] += r.size
+    mean = sum(load.values()) / 24
+    assert len(load) == 24 and max(abs(x - mean) for x in load.values()) < max(largest, 0.03 * mean)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, "a"), (1, "a")], [(i, "x" * i) for i in range(5)]])
 def test_sharding_of_edge_tables(docs, rows):
     checked(rows, H.shard(docs(rows)).collect(), 24)

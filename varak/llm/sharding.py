@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, table
+from .common import attach, cut, hot_limit, numbered, table
 
 SHARDS, LAW = 24, "bytes"
 #: Buckets of one narrowing step; a cut is settled when the bucket that holds it weighs at most TOLERANCE of a shard.
@@ -53,12 +53,21 @@ def _cuts(points: DataFrame, wanted: dict[int, tuple[int, int, int, float]], tol
     """Per node, given its dimension, least and most key and the bytes that should lie left: (cut, bytes it is off by).
 
     Keys below the cut go left. points has node and the keys. Each step aggregates some buckets a node and keeps the
-    bucket in which the wanted weight falls. Nodes share DRIVER_ROWS buckets, so many nodes take more steps, not more
-    memory; what is broadcast has one row a node.
+    bucket in which the wanted weight falls. Nodes share DRIVER_ROWS buckets, and more nodes than DRIVER_ROWS / 16 take turns,
+    so many nodes take more steps, not more memory; what is broadcast has one row a node.
     """
-    state, found = dict(wanted), {}
+    found: dict[int, tuple[int, float]] = {}
+    nodes, at_once = list(wanted.items()), max(1, DRIVER_ROWS // 16)
+    for begin in range(0, len(nodes), at_once):
+        found |= _narrow(points, dict(nodes[begin : begin + at_once]), tolerance)
+    return found
+
+
+def _narrow(points: DataFrame, state: dict[int, tuple[int, int, int, float]], tolerance: float) -> dict[int, tuple[int, float]]:
+    """_cuts() for at most DRIVER_ROWS / 16 nodes."""
+    found: dict[int, tuple[int, float]] = {}
     while state:
-        buckets = max(16, min(BUCKETS, DRIVER_ROWS // len(state)))
+        buckets = max(2, min(BUCKETS, DRIVER_ROWS // len(state)))
         spans = [(n, d, lo, hi, max(1, -(-(hi - lo + 1) // buckets))) for n, (d, lo, hi, _) in state.items()]
         spans = F.broadcast(points.sparkSession.createDataFrame(spans, "node int, d int, lo long, hi long, w long"))
         rows = points.join(spans, "node").withColumn("v", _key(F.col("d"))).where("v between lo and hi")
@@ -83,7 +92,8 @@ def shard_groups(groups: DataFrame, shards: int) -> DataFrame:
     """Give every group (h1, h2, part, bytes, size, lang, source) its shard by the k-d tree.
 
     Where a heavy group keeps the widest dimension from dividing the bytes within 1 % of a shard, the next dimensions
-    are tried and the best cut is taken. The driver holds the tree, a few numbers a shard.
+    are tried and the best cut is taken. Of the data the driver reads at most DRIVER_ROWS bucket totals at a time; besides it
+    holds the tree, which is a few numbers a shard.
     """
     spark = groups.sparkSession
     points, depth = cut(_points(groups).withColumn("node", F.lit(0))), 0
@@ -126,10 +136,10 @@ def shard(
     """Shard all documents by bytes: the carried columns (default: the id), size, text_crc32, law, shard, slot, grown_shard.
 
     Give shards, or target_bytes for as many as bring a leaf to that size. Sums of size are near equal. Equal texts
-    share a shard, except a text whose copies outweigh half a shard: those are spread by id over 64 parts. Null texts count
-    as empty ones (size 8, crc 0); null languages and sources are values of their own. Ids may be null or repeat: each
-    row gets its own slot, gapless from 0 within its shard. Fewer texts than shards leave shards empty; an empty table
-    gives an empty result. grown_shard is null under this law.
+    share a shard, except a text whose copies outweigh half a shard: those are spread by id, and rows of one id by number,
+    over 64 parts that are weighed one by one. Null texts count as empty ones (size 8, crc 0); null languages and sources
+    are values of their own. Ids may be null or repeat: each row gets its own slot, gapless from 0 within its shard. Fewer
+    texts than shards leave shards empty; an empty table gives an empty result. grown_shard is null under this law.
     """
     carry = [id_col] if carry is None else carry
     text, mine = F.coalesce(F.col(text_col), F.lit("")), [f"_c{i}" for i in range(len(carry))]
@@ -139,20 +149,30 @@ def shard(
     )
     if text_col not in carry:
         rows = cut(rows)
-    groups = cut(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.max("size").alias("size"), F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source")))
-    total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    shards = max(1, -(-total // target_bytes)) if target_bytes else shards
-    giant = F.col("bytes") > F.lit(total / shards / 2)  # at most 2 * shards groups
-    parts = groups.withColumn("k", F.when(giant, 64).otherwise(1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    parts = parts.withColumn("bytes", F.col("bytes") / F.col("k")).withColumn("n", F.ceil(F.col("n") / F.col("k"))).drop("k")
-    placed = cut(shard_groups(parts, shards).select("h1", "h2", "part", "n", "shard"))
-    spread = F.broadcast(groups.where(giant).select("h1", "h2", F.lit(True).alias("giant")))
-    rows = rows.drop("lang", "source").join(spread, ["h1", "h2"], "left").withColumn("part", F.when(F.col("giant"), F.pmod("hid", F.lit(64))).otherwise(0).cast("int")).drop("giant")
+    facts = (F.sum("size").cast("double").alias("bytes"), F.max("size").alias("size"), F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source"))
+    groups = cut(rows.groupBy("h1", "h2").agg(*facts))
+    total, count = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = int(max(1, -(-total // target_bytes))) if target_bytes else shards
+    giant = (F.col("bytes") > F.lit(total / shards / 2)) & (F.col("n") > 1)  # at most 2 * shards groups
+    known, special = groups.withColumn("part", F.lit(0)), giant | (F.col("n") > hot_limit(count))
+    flags = groups.where(special).select("h1", "h2", giant.alias("giant"))
+    rows, plain = rows.drop("lang", "source"), [F.lit(0).cast("long").alias("nth"), F.lit(0).alias("part")]
+    if flags.isEmpty():
+        rows = rows.select("*", *plain)
+    else:
+        marked = rows.join(F.broadcast(flags), ["h1", "h2"], "left")
+        apart = numbered(marked.where(F.col("giant").isNotNull()), ["h1", "h2", "hid"], "nth")  # equal rows of a heavy text
+        apart = cut(apart.withColumn("part", F.when(F.col("giant"), F.pmod(F.xxhash64("hid", "nth"), F.lit(64))).otherwise(0).cast("int")))
+        weighed = apart.where("giant").groupBy("h1", "h2", "part").agg(F.sum("size").cast("double").alias("b"), F.count("*").alias("k"))
+        heavy = weighed.join(F.broadcast(groups.where(giant)), ["h1", "h2"]).select("h1", "h2", F.col("b").alias("bytes"), "size", F.col("k").alias("n"), "lang", "source", "part")
+        known = known.where(~giant).unionByName(heavy)
+        rows = marked.where(F.col("giant").isNull()).select(*rows.columns, *plain).unionByName(apart.select(*rows.columns, "nth", "part"))
+    placed = cut(shard_groups(cut(known), shards).select("h1", "h2", "part", "n", "shard"))
     rows = attach(rows, placed, ["h1", "h2", "part"], "n", count)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("hid", "h1"), F.lit(int(1 + max(count / SLOT_BLOCK, total / SLOT_BYTES) // shards))))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("hid", "h1", "nth"), F.lit(int(1 + max(count / SLOT_BLOCK, total / SLOT_BYTES) // shards))))
     counts = rows.groupBy("shard", "block").count().withColumn("start", F.expr("sum(count) over (partition by shard order by block) - count")).drop("count")
     rows = rows.join(counts, ["shard", "block"])
-    nth = F.expr("row_number() over (partition by shard, block order by hid, h1)")
+    nth = F.expr("row_number() over (partition by shard, block order by hid, h1, nth)")
     return rows.withColumn("slot", (F.col("start") + nth - 1).cast("long")).select(
         *[F.col(m).alias(c) for c, m in zip(carry, mine)], "size", F.col("crc").alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
@@ -160,4 +180,5 @@ def shard(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of all documents."""
     return shard(table(spark, sf_dir, "documents"))
