@@ -306,6 +306,20 @@ def test_every_window_holds_an_anchor_and_equal_windows_the_same(window):
         assert all(known.get(p + shift) == known[p] for p in inner)
 
 
+@pytest.mark.parametrize("window", [8, 13, 50])
+def test_boundaries_are_named_by_symbols_and_as_their_words_are(window):
+    rng, margin = random.Random(window), 1 << (R.levels(window)[0] - 1)
+    for size in (2, 4):
+        chunk = R.Chunk([" ".join(f"w{rng.randrange(size)}" for _ in range(4000)).encode()])
+        at, symbols = chunk.parse(window)
+        at = at[(at >= margin) & (at + margin <= 4000)]
+        names = chunk.boundary_names(at, symbols, margin)
+        words = [tuple(chunk.names[p - margin : p + margin].tolist()) for p in at.tolist()]
+        assert len(set(zip(words, names.tolist()))) == len(set(words)) == len(set(names.tolist()))
+        raw = R._names(chunk.names, at - margin, 2 * margin, R._B1)
+        assert len(symbols) == R.levels(window)[0] - 1 and (margin < 4 or (names != raw).mean() > 0.5)
+
+
 def test_repeats_in_a_very_long_text(docs):
     body = " ".join(f"w{i}" for i in range(120_000))
     got = {r.doc_id: r for r in R.remove_repeats(docs([(1, body), (2, "head " + body + " tail"), (3, body)])).collect()}

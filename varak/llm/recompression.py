@@ -1,15 +1,15 @@
 """Substring dedup by recompression.
 
 Words get global names (64-bit hashes). In each round the names fall into a left and a right class by one bit of a
-round-specific hash, and every left symbol followed by a right one becomes a pair with a name of its own: equal
+round-specific hash, and every left symbol followed by a right one becomes a pair, whose name is made from theirs: equal
 stretches of words are parsed alike but for a bounded margin, in all documents and without any communication. In the last
 round symbols longer than a limit are not formed, so that every window of the wanted length has a symbol boundary
-whose whole margin lies inside the window. The words within that margin name the boundary; the least name of a window
-stands for it. Names are shared by equal windows, so names found in one document only can't belong to a repeat. Runs
-of equal names count once.
+whose whole margin lies inside the window. The symbols of all rounds that surely lie alike within that margin, the highest
+that fit, name the boundary; the least name of a window stands for it. Names are shared by equal windows, so names found
+in one document only can't belong to a repeat. Runs of equal names count once.
 
 1. Reveal: names meet in one shuffle; those that occur again become hits of their documents.
-2. Verify: windows around hits meet in a second shuffle, by 96-bit names of all their words; a window that starts in a
+2. Verify: windows around hits meet in a second shuffle, by 128-bit names of all their words; a window that starts in a
    document with a smaller id is marked.
 3. Remove: marks return to their documents.
 
@@ -74,10 +74,12 @@ class Chunk:
         self.names = np.fromiter((digest(w) for own in self.words for w in own), dtype=_U, count=n)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
 
-    def boundaries(self, window: int) -> np.ndarray:
-        """Positions where a symbol starts after the last round."""
+    def parse(self, window: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(positions where a symbol starts after the last round; per round before it, by position, the name of the symbol
+        that starts there and its number of words, 0 inside a symbol)."""
         rounds, longest = levels(window)
         names, at, size, doc = self.names, np.arange(len(self.names)), np.ones(len(self.names), dtype=np.int64), self.doc
+        symbols = []
         for r in range(rounds):
             left = (_mix(names + _U((r + 1) * int(_B2) % (1 << 64))) >> _U(40)) & _U(1) == 1
             pair = np.zeros(len(names), dtype=bool)
@@ -91,19 +93,44 @@ class Chunk:
             keep = np.ones(len(names), dtype=bool)
             keep[first + 1] = False
             names, at, size, doc = names[keep], at[keep], size[keep], doc[keep]
-        return at
+            if r < rounds - 1:
+                name, words = np.zeros(len(self.names), dtype=_U), np.zeros(len(self.names), dtype=np.int8)
+                name[at], words[at] = names, size
+                symbols.append((name, words))
+        return at, symbols
+
+    def boundary_names(self, at: np.ndarray, symbols: list[tuple[np.ndarray, np.ndarray]], margin: int) -> np.ndarray:
+        """One name for each boundary, made from the symbols within margin words of it.
+
+        A boundary of round r depends on 2^(r-1) words on either side, so symbols of that round that keep this distance to
+        the ends of the margin are the same wherever the margin's words occur. The highest such symbol is taken at every
+        place; words stand for themselves where there is none.
+        """
+        out, due = np.zeros(len(at), dtype=_U), np.full(len(at), -margin, dtype=np.int64)  # due: next place not yet covered
+        for k in range(-margin, margin):
+            here = due == k
+            part, words = self.names[at + k], np.ones(len(at), dtype=np.int64)
+            for r, (name, size) in enumerate(symbols, 1):
+                reach = margin - (1 << (r - 1))
+                if k >= -reach:
+                    n = size[at + k]
+                    fits = (n > 0) & (k + n <= reach)
+                    part, words = np.where(fits, name[at + k], part), np.where(fits, n, words)
+            out = np.where(here, out * _B1 + part, out)
+            due = np.where(here, k + words, due)
+        return _mix(out)
 
     def anchors(self, window: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, names) such that every window holds one whole anchor, the same in equal windows."""
         n, margin = len(self.names), 1 << (levels(window)[0] - 1)
-        at = self.boundaries(window)
+        at, symbols = self.parse(window)
         begin = (self.ends - self.sizes)[self.doc[at]] if n else at
         at = at[(at - begin >= margin) & (self.ends[self.doc[at]] - at >= margin)] if n else at
         reach = window - 2 * margin + 1  # places in a window where its anchor may be
         if not len(at) or n < window:
             return at[:0], np.zeros(0, dtype=_U)
         name = np.full(n + reach, ~_U(0), dtype=_U)
-        name[at] = _names(self.names, at - margin, 2 * margin, _B1)
+        name[at] = self.boundary_names(at, symbols, margin)
         least = np.lib.stride_tricks.sliding_window_view(name, reach).min(axis=1)[:n]  # of the places p .. p + reach - 1
         start = np.arange(n) - margin
         fits = (start >= 0) & (start + window <= n)
@@ -121,8 +148,8 @@ class Chunk:
         return spread[self.doc[spread] == self.doc[spread + window - 1]]
 
     def window_names(self, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits that name each window."""
-        return _names(self.names, starts, window, _B1), (_names(self.names, starts, window, _B2) >> _U(32)).astype(np.uint32)
+        """128 bits that name each window."""
+        return _names(self.names, starts, window, _B1), _names(self.names, starts, window, _B2)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.RecordBatch]]:
@@ -227,7 +254,7 @@ def verify(window: int):
             fresh[1:] |= (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])
             least = own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(w1) else own
             kind = np.where(own > least, SETTLED, OPEN).astype(np.int8)
-            columns = [w1.view(np.int64), w2.view(np.int32), own, mark, kind]
+            columns = [w1.view(np.int64), w2.view(np.int64), own, mark, kind]
             yield pa.RecordBatch.from_arrays([pa.array(c[fresh]) for c in columns], names=["w1", "w2", "id", "mark", "kind"])
 
     return run
@@ -325,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole = docs.select(place, mark, F.col(text_col).alias("text"), *[F.col(c).alias(m) for c, m in zip(carry, mine)])
     found = whole.join(hits, ["id", "mark"]).select("id", "mark", "hits", *mine, "text")  # all of whole, so that its shuffle is reused
-    windows = found.mapInArrow(verify(window), "w1 long, w2 int, id long, mark int, kind byte").repartition(by_document("w1")).sortWithinPartitions("w1", "w2", "id")
+    windows = found.mapInArrow(verify(window), "w1 long, w2 long, id long, mark int, kind byte").repartition(by_document("w1")).sortWithinPartitions("w1", "w2", "id")
     late = windows.mapInArrow(later, "id long, mark int, w1 long")
     ends = late.select("id", "mark", "w1", F.lit(False).alias("copy")).unionAll(copies.select("id", "mark", F.lit(None).cast("long").alias("w1"), F.lit(True).alias("copy")))
     ends = ends.groupBy("id", "mark").agg(F.collect_list("w1").alias("windows"), F.max("copy").alias("copy"))
@@ -336,6 +363,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats of earlier documents all documents hold."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
