@@ -34,6 +34,35 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in out.collect()) == Counter(r.doc_id for r in mixed.collect())
 
 
+def test_cut_and_release(spark, docs):
+    since = common.mark()
+    a, b = (common.cut(docs([(i, "x")])) for i in (1, 2))
+    common.release(spark, since, keep=[b])
+    assert b.first().doc_id == 2 and common.mark() == since + 1
+    with pytest.raises(Exception, match="(?i)not exist|no such file|not found"):
+        a.first()
+
+
+def test_numbers_of_equal_rows(spark, docs, monkeypatch):
+    rows = docs([(i % 3, "same") for i in range(50)] + [(None, "n")] * 7).repartition(5).select("text", "doc_id")
+    got = common.numbered(rows.select("text", "doc_id"), ["text", "doc_id"], "nth").collect()
+    assert Counter((r.doc_id, r.nth) for r in got if r.doc_id is not None) == Counter((i, n) for i, k in ((0, 17), (1, 17), (2, 16)) for n in range(1, k + 1))
+    table = common.cut(spark.createDataFrame([("a", 1), ("b", 7), ("c", 3)], "k string, n long"))
+    for size in (100, 2):
+        monkeypatch.setattr(common, "SPREAD", size)
+        assert sorted(tuple(r) for r in common.spread(table, "n", "i").collect()) == [(k, i) for k, n in (("a", 1), ("b", 7), ("c", 3)) for i in range(1, n + 1)]
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://a:7077"))
+    for master in ("spark://a:7077", "local-cluster[3,2,1024]", "yarn"):
+        bare.sparkContext.master = master
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            common.shared_dir(bare)
+
+
 @needs_data
 def test_run_is_the_stages_in_a_row(spark):
     a, b = (sorted((r.doc_id, r.shard, r.slot) for r in C.run(spark, SMALL).collect()) for _ in range(2))

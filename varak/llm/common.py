@@ -46,14 +46,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: list[DataFrame] = ()) -> None:
-    """Remove the tables that cut() has written so far, but for those that the frames in keep were read from.
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_written)
 
-    Call it when no other frame made with this package is to be run again.
+
+def release(spark: SparkSession, since: int, keep: list[DataFrame] = ()) -> None:
+    """Remove the tables that cut() has written since mark(), but for those that the frames in keep are read from.
+
+    For the end of a step whose result is written: no other frame that was made in it can be run again.
     """
-    used = {f.rsplit("/", 1)[0].split("varak-")[-1] for df in keep for f in df.inputFiles()}
-    for path in list(_written):
-        if path.split("varak-")[-1] not in used:
+    used = {part for f in keep for name in f.inputFiles() for part in name.split("/")}
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[1] not in used:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
             _written.remove(path)
