@@ -1,8 +1,10 @@
 import itertools
 import random
+from html.parser import HTMLParser
 
 import pytest
 
+from tests.llm.conftest import SMALL, needs_data
 from varak.llm import html_text as H
 
 
@@ -156,3 +158,43 @@ def test_rows(spark):
     got = H.main_text(df).collect()
     assert len(got) == 3 and all(r.n_chars == len(r.text) for r in got)
     assert H.main_text(df.limit(0)).count() == 0
+
+
+class Article(HTMLParser):
+    """The blocks of the article element, by the parser of the standard library."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.parts, self.now = 0, [], ""
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if self.inside and self.now.split():
+            self.parts.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now += " "
+        elif tag in H.BLOCK_TAGS:
+            self.end()
+            self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in H.BLOCK_TAGS:
+            self.end()
+            self.inside -= tag == "article" and self.inside > 0
+
+    def handle_data(self, data):
+        self.now += data
+
+
+@needs_data
+def test_query_equals_the_articles(spark):
+    pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet").collect()
+    got = {r.page_id: r for r in H.query(spark, SMALL.replace("0.001", "0.01")).collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        assert got[p.page_id].text == "\n\n".join(Article(p.html or "").parts) and got[p.page_id].url == p.url

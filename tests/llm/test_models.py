@@ -183,6 +183,16 @@ def test_toxicity_of_held_out_documents(spark):
     assert caught >= 0.88 * toxic and sum(r.predicted and not truth[r.doc_id] for r in got) <= 0.01 * len(got)
 
 
+@needs_data
+def test_languages_of_held_out_documents(spark):
+    folder = SMALL.replace("0.001", "0.01")
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{folder}/documents.parquet").where("lang is not null and text rlike '[A-Za-z]'").collect()}
+    got = I.query(spark, folder).collect()
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert len(got) >= len(truth) and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.99 * len(held) > 100
+    assert sum(r.ambiguous for r in got) <= 0.01 * len(got)
+
+
 def test_rare_toxicity_is_learned(spark, docs):
     rng, rows, labels = random.Random(9), [], []
     for i in range(6000):

@@ -124,6 +124,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents."""
     return quality(table(spark, sf_dir, "documents"))
 
 

@@ -135,6 +135,7 @@ def url_verdicts(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts on the URLs of all pages."""
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
