@@ -81,6 +81,8 @@ def test_automaton_equals_fnmatch():
         ("http://b.org/fr/?q", "b.org", "/fr/", "org/fr/", "allow"),
         ("http://casino-win.example.com/en", "casino-win.example.com", "/en", None, "block"),
         ("http://a.com/go?u=http://free-bets.com/", "a.com", "/go", None, "block"),
+        ("http://a.com/Casino/", "a.com", "/Casino/", None, "block"),
+        ("http://SPAM-farm.example.com/a", "spam-farm.example.com", "/a", None, "block"),
         ("no scheme", "", "", None, "allow"),
         (None, "", "", None, "allow"),
         ("", "", "", None, "allow"),

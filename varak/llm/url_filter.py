@@ -20,7 +20,12 @@ from .common import table
 #: (verdict, host, path): fits the host and its subdomains when the path starts with path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Globs that block, over the canonical URL (host, path and query). ``*``: any run; ``?``: one character.
-GLOBS = ("*casino*", "*free-bets*", "*ads-track*", "*adserver.*", "*doubleclick.*", "*viagra*", "*poker-online*", "*xxx-*", "*/ads/*", "*/wp-login.php*")
+GLOBS = (
+    "*casino*", "*free-bets*", "*betting-*", "*slot-machine*", "*poker-online*", "*jackpot-*",
+    "*ads-track*", "*adserver.*", "*doubleclick.*", "*/ads/*", "*/banners/*", "*?utm_medium=spam*",
+    "*viagra*", "*cialis*", "*cheap-pills*", "*online-pharmacy*", "*weight-loss-*", "*xxx-*", "*porn*", "*escort-*",
+    "*spam-farm*", "*link-farm*", "*seo-links*", "*payday-loan*", "*replica-watch*", "*get-rich-*", "*warez*", "*phishing*", "*/wp-login.php*",
+)
 
 
 class ShiftAnd:
@@ -102,9 +107,9 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host (A-Z lowered), path and query; no scheme and no fragment."""
+    """Host, path and query, A-Z lowered; no scheme and no fragment."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.concat(host_of(url), rest)
+    return F.concat(host_of(url), _ascii_lower(rest))
 
 
 def url_verdicts(
@@ -154,7 +159,7 @@ def _sql() -> str:
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM cut
     )
     SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule,
-           CASE {verdict} WHEN len(list_filter([{globs}], lambda g: (host || tail) GLOB g)) > 0 THEN 'block' ELSE 'allow' END AS verdict
+           CASE {verdict} WHEN len(list_filter([{globs}], lambda g: (host || translate(tail, '{up}', '{low}')) GLOB g)) > 0 THEN 'block' ELSE 'allow' END AS verdict
     FROM parts"""
 
 
