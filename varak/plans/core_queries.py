@@ -6,7 +6,6 @@ Texts with paragraphs are made from conversations: a user's turns followed, betw
 from __future__ import annotations
 
 import base64
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -182,14 +181,8 @@ def _pair_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a local one in local mode where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="varak-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/files-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share."""
+    return f"{X.shared_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _item_files(spark: SparkSession, sf_dir: str, text: Column) -> str:
