@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varak.sources.files import shared_dir
 from varak.sources.files import spread as spread_input
 
 #: At most this many keys are broadcast as hot ones: those with over total / HOT_KEYS rows, and over HOT_ROWS.
@@ -21,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_input(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, local mode gets a folder of its own (as in
-    tests); on a cluster that is an error, as each machine would write to its own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="varak-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Tables that cut() wrote and release() hasn't removed yet.
 _written: list[str] = []
 
