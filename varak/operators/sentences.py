@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varak.functions.text import REPAIR_SIGNS, cleanliness, let, line_sentences, needs_correction, post_process, repair_sign
+from varak.functions import vector as V
+from varak.functions.text import REPAIR_SIGNS, let, line_sentences, needs_correction, post_process, repair_sign
 
 #: Takes a batch of sentences and returns as many corrected ones; None where one failed.
 Corrector = Callable[[list[str]], list[str | None]]
@@ -22,12 +23,29 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return cut.select(id_col, F.col("line_idx").cast("long"), F.col("sent_idx").cast("long"), "sentence")
 
 
+def _once(rows: DataFrame, call, *columns: Column) -> DataFrame:
+    """Add what a Python function finds as column _found. As if it weren't deterministic: filters that follow would call it
+    once more."""
+    return rows.withColumn("_found", call.asNondeterministic()(*columns))
+
+
 def flag_sentences(rows: DataFrame, sentence_col: str = "sentence") -> DataFrame:
     """Add one boolean column for each repair sign, and needs_correction, which is any of them."""
     rows = rows.withColumns({name: repair_sign(F.col(sentence_col), name) for name in REPAIR_SIGNS})
     return rows.withColumn("needs_correction", reduce(lambda a, b: a | b, map(F.col, REPAIR_SIGNS)))
 
 
+def _asked(corrector: Corrector, texts: list[str]) -> list[str | None]:
+    """What the corrector makes of the texts; where it fails for the batch, they are tried one by one."""
+    try:
+        found = list(corrector(texts)) if texts else []
+        if len(found) != len(texts):
+            raise ValueError("a corrector returns as many texts as it gets")
+        return found
+    except Exception:
+        return [_alone(corrector, t) for t in texts]
+
+
 def _caller(corrector: Corrector):
     """The corrector as a function of a column of arrays: null items stay, failed ones become null."""
 
@@ -35,35 +53,51 @@ def _caller(corrector: Corrector):
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts = [t for items in batch if items is not None for t in items if t is not None]
-            try:
-                found = list(corrector(texts)) if texts else []
-                if len(found) != len(texts):
-                    raise ValueError("a corrector returns as many texts as it gets")
-            except Exception:
-                found = [_alone(corrector, t) for t in texts]
-            done = iter(found)
+            done = iter(_asked(corrector, texts))
             yield pd.Series([None if items is None else [None if t is None else next(done) for t in items] for items in batch], dtype=object)
 
     return call
 
 
+def _repairer(corrector: Corrector | None):
+    """Sentences to their corrected forms, null where none was made, and their cleanliness."""
+
+    @F.pandas_udf("fixed string, cleanliness double")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [t for t in batch if t is not None]
+            due = V.signs(texts)["needs_correction"].tolist()
+            flagged = [t for t, flag in zip(texts, due) if flag]
+            raw = iter(flagged if corrector is None else _asked(corrector, flagged))
+            flags = iter(due)
+            fixed, clean = [], []
+            for t in batch:
+                if t is None or not next(flags):
+                    fixed.append(None)
+                    clean.append(1.0)
+                elif (found := next(raw)) is None:
+                    fixed.append(None)
+                    clean.append(0.0)
+                else:
+                    fixed.append(V.post_process(found))
+                    clean.append(V.cleanliness(t, fixed[-1]))
+            yield pd.DataFrame({"fixed": pd.Series(fixed, dtype=object), "cleanliness": pd.Series(clean, dtype="float64")})
+
+    return call
+
+
 def repair(rows: DataFrame, corrector: Corrector | None = None, sentence_col: str = "sentence") -> DataFrame:
     """Add corrected, cleanliness and was_corrected to sentences.
 
-    Only flagged sentences reach the corrector (default: the identity, which stays in the JVM). A sentence that isn't
-    flagged stays as it is, with cleanliness 1; one whose correction failed stays too, with cleanliness 0.
+    Only flagged sentences reach the corrector (default: the identity). A sentence that isn't flagged stays as it is, with
+    cleanliness 1; one whose correction failed stays too, with cleanliness 0. A sentence is looked at once, in batches.
     """
-    sentence = F.col(sentence_col)
-    flagged = rows.withColumn("_flag", needs_correction(sentence))
-    raw = sentence if corrector is None else _caller(corrector)(F.array(F.when(F.col("_flag"), sentence)))[0]
-    flagged = flagged.withColumn("_raw", F.when(F.col("_flag"), raw))
-    fixed = flagged.withColumn("_fixed", F.when(F.col("_flag") & F.col("_raw").isNotNull(), post_process(F.col("_raw"))))
-    done = F.col("_fixed").isNotNull()
-    return fixed.select(
+    found = _once(rows, _repairer(corrector), F.col(sentence_col))
+    return found.select(
         *rows.columns,
-        F.coalesce("_fixed", sentence).alias("corrected"),
-        F.when(done, cleanliness(sentence, F.col("_fixed"))).when(F.col("_flag"), 0.0).otherwise(1.0).alias("cleanliness"),
-        done.alias("was_corrected"),
+        F.coalesce("_found.fixed", F.col(sentence_col)).alias("corrected"),
+        F.col("_found.cleanliness").alias("cleanliness"),
+        F.col("_found.fixed").isNotNull().alias("was_corrected"),
     )
 
 
