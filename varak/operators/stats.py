@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varak.functions.text import char_count, report_sentences, sentence_count, word_count, words
+from varak.functions import vector as V
+from varak.functions.text import char_count, report_sentences, sentence_count, word_count
 
 #: Takes texts and returns their token counts. Tokens are never guessed from words.
 TokenCounter = Callable[[list[str]], list[int]]
@@ -57,10 +58,18 @@ def totals(stats: DataFrame) -> DataFrame:
     return stats.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names], F.count("*").alias("files_processed"))
 
 
-def _side(text: Column) -> list[Column]:
-    pieces = report_sentences(text)
-    per = F.aggregate(F.transform(pieces, lambda s: F.size(words(s))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return [word_count(text), char_count(text), F.size(pieces).cast("long"), per]
+_COUNTS = [f"{side}_{n}" for side in ("original", "corrected") for n in ("tokens", "characters", "sentences", "sentence_words")]
+
+
+def _both_sides(original: Column, corrected: Column) -> Column:
+    """The counts of both texts, which aren't null."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+    def count(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in batches:
+            yield pd.DataFrame([V.report_counts(x) + V.report_counts(y) for x, y in zip(a, b)], columns=_COUNTS, dtype="int64")
+
+    return count(original, corrected)
 
 
 def repair_report(repaired: DataFrame, sentence_col: str = "sentence") -> DataFrame:
@@ -68,12 +77,11 @@ def repair_report(repaired: DataFrame, sentence_col: str = "sentence") -> DataFr
     differences, average words a sentence, and average, least and most cleanliness; averages over nothing are null.
     """
     kept = repaired.where("was_corrected")
-    names = ("tokens", "characters", "sentences", "sentence_words")
-    both = {"original": _side(F.col(sentence_col)), "corrected": _side(F.col("corrected"))}
-    flat = kept.select("cleanliness", *[c.alias(f"{side}_{n}") for side, cs in both.items() for n, c in zip(names, cs)])
-    sums = flat.agg(*[F.coalesce(F.sum(f"{s}_{n}"), F.lit(0)).cast("long").alias(f"{s}_{n}") for s in both for n in names], *[f("cleanliness").alias(f"{a}_cleanliness") for a, f in (("avg", F.avg), ("min", F.min), ("max", F.max))])
-    counted = [f"{s}_{n}" for s in both for n in names[:3]]
-    differ = [(F.col(f"original_{n}") - F.col(f"corrected_{n}")).alias(f"difference_{n}") for n in names[:3]]
+    both, names = ("original", "corrected"), ("tokens", "characters", "sentences")
+    flat = kept.select("cleanliness", _both_sides(F.col(sentence_col), F.col("corrected")).alias("_n")).select("cleanliness", "_n.*")
+    sums = flat.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in _COUNTS], *[f("cleanliness").alias(f"{a}_cleanliness") for a, f in (("avg", F.avg), ("min", F.min), ("max", F.max))])
+    counted = [f"{s}_{n}" for s in both for n in names]
+    differ = [(F.col(f"original_{n}") - F.col(f"corrected_{n}")).alias(f"difference_{n}") for n in names]
     average = [F.when(F.col(f"{s}_sentences") > 0, F.col(f"{s}_sentence_words") / F.col(f"{s}_sentences")).alias(f"{s}_words_per_sentence") for s in both]
     return sums.select(*counted, *differ, *average, "avg_cleanliness", "min_cleanliness", "max_cleanliness")
 
