@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varak.functions import vector as V
-from varak.functions.text import REPAIR_SIGNS, let, line_sentences, needs_correction, post_process, repair_sign
+from varak.functions.text import REPAIR_SIGNS, let, line_sentences, needs_correction, post_process
 
 #: Takes a batch of sentences and returns as many corrected ones; None where one failed.
 Corrector = Callable[[list[str]], list[str | None]]
@@ -23,6 +23,29 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return cut.select(id_col, F.col("line_idx").cast("long"), F.col("sent_idx").cast("long"), "sentence")
 
 
+def _signs_of(batch: pd.Series) -> pd.DataFrame:
+    """Signs of each sentence; null for a null one."""
+    texts, given = batch.tolist(), batch.notna().to_numpy()
+    if given.all():
+        return pd.DataFrame(V.signs(texts))
+    found = {}
+    for name, flags in V.signs([t for t in texts if t is not None]).items():
+        found[name] = np.full(len(texts), None, object)
+        found[name][given] = flags
+    return pd.DataFrame(found)
+
+
+def _all_signs():
+    """Sentences to the signs of each."""
+
+    @F.pandas_udf(", ".join(f"{name} boolean" for name in (*REPAIR_SIGNS, "needs_correction")))
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _signs_of(batch)
+
+    return call
+
+
 def _once(rows: DataFrame, call, *columns: Column) -> DataFrame:
     """Add what a Python function finds as column _found. As if it weren't deterministic: filters that follow would call it
     once more."""
@@ -31,8 +54,8 @@ def _once(rows: DataFrame, call, *columns: Column) -> DataFrame:
 
 def flag_sentences(rows: DataFrame, sentence_col: str = "sentence") -> DataFrame:
     """Add one boolean column for each repair sign, and needs_correction, which is any of them."""
-    rows = rows.withColumns({name: repair_sign(F.col(sentence_col), name) for name in REPAIR_SIGNS})
-    return rows.withColumn("needs_correction", reduce(lambda a, b: a | b, map(F.col, REPAIR_SIGNS)))
+    found = _once(rows, _all_signs(), F.col(sentence_col))
+    return found.select(*rows.columns, *[F.col(f"_found.{name}").alias(name) for name in (*REPAIR_SIGNS, "needs_correction")])
 
 
 def _asked(corrector: Corrector, texts: list[str]) -> list[str | None]:
