@@ -105,15 +105,15 @@ def is_valid(lexicon: DataFrame, required: dict = REQUIRED) -> bool:
 def marker_counts(docs: DataFrame, lexicon: DataFrame, category: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Extension: how many distinct words of each text are markers of each list of the category.
 
-    A marker in several lists counts in each. Texts without any have no row. The lexicon side is joined as its size
-    allows; words are made distinct per text before they meet it.
+    A marker in several lists counts in each. Texts without any have no row. The lists, small by nature, go to the words:
+    these are made distinct per text and only counts are shuffled.
     """
     found = docs.select(id_col, F.explode(word_set(F.col(text_col))).alias("marker"))
     lists = lexicon.where(F.col("category") == category).select("subcategory", "marker").distinct()
-    return found.join(lists, "marker").groupBy(id_col, "subcategory").agg(F.count("*").alias("n_markers"))
+    return found.join(F.broadcast(lists), "marker").groupBy(id_col, "subcategory").agg(F.count("*").alias("n_markers"))
 
 
 def without_stopwords(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Extension: how many distinct words of each text aren't stopwords; texts without any have no row."""
     found = docs.select(id_col, F.explode(word_set(F.col(text_col))).alias("marker"))
-    return found.join(stopwords(lexicon), "marker", "left_anti").groupBy(id_col).agg(F.count("*").alias("n_words"))
+    return found.join(F.broadcast(stopwords(lexicon)), "marker", "left_anti").groupBy(id_col).agg(F.count("*").alias("n_words"))
