@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varak.functions import vector as V
-from varak.functions.text import REPAIR_SIGNS, let, line_sentences, needs_correction, post_process
+from varak.functions.text import REPAIR_SIGNS, let, line_sentences
 
 #: Takes a batch of sentences and returns as many corrected ones; None where one failed.
 Corrector = Callable[[list[str]], list[str | None]]
@@ -69,19 +69,6 @@ def _asked(corrector: Corrector, texts: list[str]) -> list[str | None]:
         return [_alone(corrector, t) for t in texts]
 
 
-def _caller(corrector: Corrector):
-    """The corrector as a function of a column of arrays: null items stay, failed ones become null."""
-
-    @F.pandas_udf("array<string>")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            texts = [t for items in batch if items is not None for t in items if t is not None]
-            done = iter(_asked(corrector, texts))
-            yield pd.Series([None if items is None else [None if t is None else next(done) for t in items] for items in batch], dtype=object)
-
-    return call
-
-
 def _repairer(corrector: Corrector | None):
     """Sentences to their corrected forms, null where none was made, and their cleanliness."""
 
@@ -131,6 +118,26 @@ def _alone(corrector: Corrector, text: str) -> str | None:
         return None
 
 
+def _list_repairer(corrector: Corrector | None):
+    """Arrays of sentences to those with the flagged ones corrected; a null array stays."""
+
+    @F.pandas_udf("array<string>")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            texts = [t for items in batch if items is not None for t in items]
+            due = V.signs(texts)["needs_correction"].tolist()
+            flagged = [t for t, flag in zip(texts, due) if flag]
+            raw = iter(flagged if corrector is None else _asked(corrector, flagged))
+            flags = iter(due)
+            yield pd.Series([None if items is None else [_fixed(t, next(raw)) if next(flags) else t for t in items] for items in batch], dtype=object)
+
+    return call
+
+
+def _fixed(text: str, found: str | None) -> str:
+    return text if found is None else V.post_process(found)
+
+
 def correct_texts(docs: DataFrame, corrector: Corrector | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text with its flagged sentences corrected, put together again: id, text.
 
@@ -142,10 +149,5 @@ def correct_texts(docs: DataFrame, corrector: Corrector | None = None, id_col: s
         return let(line_sentences(line), lambda own: F.transform(own, lambda s, i: F.struct(s.alias("s"), F.when(i == F.size(own) - 1, F.lit(" \n")).otherwise(F.lit(" ")).alias("end"))))
 
     parts = docs.select(id_col, F.flatten(F.transform(F.split(F.col(text_col), "\n"), with_ends)).alias("_parts"))
-    if corrector is None:
-        fixed = F.transform("_parts", lambda x: F.concat(F.when(needs_correction(x["s"]), post_process(x["s"])).otherwise(x["s"]), x["end"]))
-        return parts.select(id_col, F.array_join(fixed, "").alias("text"))
-    parts = parts.withColumn("_due", F.transform("_parts", lambda x: F.when(needs_correction(x["s"]), x["s"])))
-    parts = parts.withColumn("_raw", _caller(corrector)(F.col("_due")))
-    fixed = F.zip_with("_parts", "_raw", lambda x, raw: F.concat(F.coalesce(post_process(raw), x["s"]), x["end"]))
-    return parts.select(id_col, F.array_join(fixed, "").alias("text"))
+    fixed = _once(parts, _list_repairer(corrector), F.col("_parts.s"))
+    return fixed.select(id_col, F.array_join(F.zip_with("_found", "_parts", lambda s, x: F.concat(s, x["end"])), "").alias("text"))
